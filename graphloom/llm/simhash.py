@@ -177,16 +177,23 @@ def close_links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach),
+    group_key (the component, also where ids repeat or are null), text_key (a hash of the text).
 
     Null texts count as empty; texts without words have fingerprint zero and are linked like any other;
     repeated rows give repeated rows; a null id is larger than any id, so that it is a component's id
     only if all its ids are null; an empty table gives no rows; extra columns are not read.
     """
-    rows = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    rows = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     parts = connected_components(close_links(nodes.select("fp")))
     joined = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = joined.join(lows, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = joined.join(lows, "root").select("fp", "component_id", F.col("root").alias("group_key"))
+    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_key", "text_key")
+
+
+def first_of_groups(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the row that stays of each group: the smallest id, then the smallest hash."""
+    low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m")
+    return groups.groupBy("group_key").agg(low).select("m.doc_id", "m.text_key")
