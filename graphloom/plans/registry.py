@@ -23,7 +23,7 @@ from graphloom.streaming.log_consumer import consume, traversal_stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-NOW = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+STAMP = "2026-01-01 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -280,7 +280,7 @@ def history_window(spark, d):
 
 
 _HITS = f"{fx.TRAVERSALS_SQL}, th AS (SELECT edge_id, count(*) AS traversed FROM te GROUP BY edge_id), {_E}, ch AS (SELECT edge_id, count(*) AS cited FROM te JOIN e ON e.id = edge_id WHERE seed IN (source_id, target_id) GROUP BY edge_id)"
-_REINFORCED = f"{_HITS}, re AS (SELECT e.*, (weight + coalesce(traversed, 0) * 0.01::DOUBLE + coalesce(cited, 0) * 0.02::DOUBLE) * 0.95::DOUBLE AS new_weight FROM e LEFT JOIN th ON th.edge_id = id LEFT JOIN ch ON ch.edge_id = id)"
+_REINFORCED = f"{_HITS}, re AS (SELECT e.*, (weight + (coalesce(traversed, 0) * 0.01::DOUBLE + coalesce(cited, 0) * 0.02::DOUBLE)) * 0.95::DOUBLE AS new_weight FROM e LEFT JOIN th ON th.edge_id = id LEFT JOIN ch ON ch.edge_id = id)"
 
 
 @query(f"WITH {_HITS} SELECT * FROM th")
@@ -298,16 +298,17 @@ def distinct_edges_touched(spark, d):
     return reinforce.traverse_hits(fx.traversals(spark, d)).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_REINFORCED} SELECT id, round(new_weight, 6) AS weight FROM re")
+@query(f"WITH {_REINFORCED} SELECT id, new_weight AS weight FROM re")
 def reinforce_edges(spark, d):
-    return reinforce.reinforce_edges(fx.table_edges(spark, d), fx.traversals(spark, d)).select("id", F.round("weight", 6).alias("weight"))
+    return reinforce.reinforce_edges(fx.table_edges(spark, d), fx.traversals(spark, d)).select("id", "weight")
 
 
 @query(f"""WITH {_N}, {_REINFORCED}, m AS (SELECT node, avg(new_weight) AS w FROM (SELECT source_id AS node, new_weight FROM re UNION ALL SELECT target_id, new_weight FROM re) GROUP BY node)
-SELECT id, round(coalesce(w, weight), 6) AS weight FROM n LEFT JOIN m ON node = id""")
+SELECT id, floor(coalesce(w, weight) * 1e6::DOUBLE + 0.3::DOUBLE)::BIGINT AS weight_micros FROM n LEFT JOIN m ON node = id""")
 def reinforce_nodes(spark, d):
+    """In millionths: means are sums in no fixed order, and the edges' weights often end in a half of the last digit."""
     nodes, _ = reinforce.reinforce(fx.table_nodes(spark, d), fx.table_edges(spark, d), fx.traversals(spark, d))
-    return nodes.select("id", F.round("weight", 6).alias("weight"))
+    return nodes.select("id", F.floor(F.col("weight") * 1e6 + 0.3).alias("weight_micros"))
 
 
 # Pruning
@@ -369,7 +370,7 @@ def merge_nodes(spark, d):
     both = fx.merge_remap(spark, d).withColumn("k", F.substring("old_id", 2, 20).cast("long")).groupBy("new_id").agg(F.min_by("old_id", "k").alias("a"), F.max_by("old_id", "k").alias("b"), F.min("k").alias("rank")).where("a <> b")
     side = lambda c: nodes.select(F.col("id").alias(c), F.struct("id", "type", "label", "summary").alias(f"n{c}"))
     shown = both.select("a", "b", "rank").join(side("a"), "a").join(side("b"), "b")
-    out, _ = merge.merge_nodes(nodes, both.select("a", "b", "rank"), merge.fused(shown, Providers()), "fx", NOW)
+    out, _ = merge.merge_nodes(nodes, both.select("a", "b", "rank"), merge.fused(shown, Providers()), "fx", F.to_timestamp(F.lit(STAMP)))
     return out.where("id like 'm-%'").select("type", "label", "summary", F.round("weight", 4).alias("weight"))
 
 
@@ -424,12 +425,12 @@ def bfs_two_hop(spark, d):
     return g.two_hops(nodes, _ties(spark, d), link.top_share(nodes))
 
 
-@query(f"WITH {_E} SELECT a.s_suppkey AS s, p_partkey AS p FROM supplier AS a JOIN part ON p_partkey % 100 = s_suppkey % 100 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey)")
+@query("SELECT 'c' || c_custkey AS seed_id, 'r' || n_regionkey AS remote_id FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def direct_edge_anti(spark, d):
-    """Suppliers and parts whose keys agree in their last two digits, without a line item."""
-    s, p = fx.read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 100).alias("k")), fx.read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 100).alias("k"))
-    pairs = s.join(p, "k").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("seed_id"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("remote_id"), F.col("s_suppkey").alias("s"), F.col("p_partkey").alias("p"))
-    return g.unlinked(pairs, fx.table_edges(spark, d)).select("s", "p")
+    """Customers with their nation and with their region: only the latter have no edge between them."""
+    rows = fx.read(spark, d, "customer").join(fx.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    far = F.explode(F.array(F.concat(F.lit("n"), F.col("n_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey"))))
+    return g.unlinked(rows.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("seed_id"), far.alias("remote_id")), fx.table_edges(spark, d)).select("seed_id", "remote_id")
 
 
 @query(f"""WITH {_TWO} SELECT th.seed_id, th.mid_id, th.remote_id FROM th JOIN wn AS a ON a.id = seed_id JOIN wn AS b ON b.id = remote_id
@@ -454,7 +455,7 @@ def _mentions(spark, d):
     docs = fx.read(spark, d, "documents")
     both = F.explode(F.array(F.struct(F.lit("Language").alias("type"), F.col("lang").alias("label"), F.lit(0).alias("pos")), F.struct(F.lit("Source").alias("type"), F.col("source").alias("label"), F.lit(1).alias("pos"))))
     rows = docs.select("doc_id", both.alias("m")).select("doc_id", "m.*")
-    return rows.select("type", "label", F.concat(F.lit("from "), F.col("doc_id")).alias("summary"), F.struct("doc_id", "pos").alias("order"), provenance("user", user_id=F.lit("u"), conversation_id=F.lit("c"), turn_id=F.lit("t0"), classification=F.lit("supplement")).alias("provenance"), NOW.alias("created_at"))
+    return rows.select("type", "label", F.concat(F.lit("from "), F.col("doc_id")).alias("summary"), F.struct("doc_id", "pos").alias("order"), provenance("user", user_id=F.lit("u"), conversation_id=F.lit("c"), turn_id=F.lit("t0"), classification=F.lit("supplement")).alias("provenance"), F.to_timestamp(F.lit(STAMP)).alias("created_at"))
 
 
 @query("""WITH m AS (SELECT doc_id, 'Language' AS type, lang AS label FROM documents UNION ALL SELECT doc_id, 'Source', source FROM documents)
@@ -473,7 +474,7 @@ def upsert_edges(spark, d):
     bought = fx.read(spark, d, "orders").join(fx.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(fx.read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(fx.read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     wanted = bought.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("order"), F.col("c_name").alias("source_label"), F.col("p_name").alias("target_label"), F.lit("BOUGHT").alias("type"))
     nodes = fx.table_nodes(spark, d)
-    add, _ = ing.upsert_edge(nodes, fx.table_edges(spark, d), wanted, provenance("user", user_id=F.lit("u"), conversation_id=F.lit("c"), turn_id=F.lit("t0"), classification=F.lit("supplement")), NOW)
+    add, _ = ing.upsert_edge(nodes, fx.table_edges(spark, d), wanted, provenance("user", user_id=F.lit("u"), conversation_id=F.lit("c"), turn_id=F.lit("t0"), classification=F.lit("supplement")), F.to_timestamp(F.lit(STAMP)))
     return add.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("n"))
 
 
@@ -489,7 +490,7 @@ def ingest_token_gate(spark, d):
 
 def _ingested(spark, d):
     nodes, edges = fx.shaped(fx.table_nodes(spark, d), fx.NODE), fx.shaped(fx.table_edges(spark, d), fx.EDGE)
-    return ing.ingest(nodes, edges, fx.stub_extraction(fx.read(spark, d, "documents")), "run", NOW)
+    return ing.ingest(nodes, edges, fx.stub_extraction(fx.read(spark, d, "documents")), "run", F.to_timestamp(F.lit(STAMP)))
 
 
 @query("""SELECT type, label, count(*) AS n FROM (SELECT 'Document' AS type, 'doc' || doc_id AS label FROM documents UNION ALL SELECT 'Language', lang FROM documents UNION ALL SELECT 'Source', source FROM documents) WHERE label <> '' GROUP BY type, label""")
@@ -521,7 +522,7 @@ def integrate_statements(spark, d):
     reply = '{"nodes": [{"type": "Person", "label": "user"}, {"type": "Topic", "label": "talk", "summary": "s"}], "edges": [{"source_label": "user", "target_label": "talk"}, {"source_label": "user", "target_label": "x"}]}'
     kind = lambda t: "experience" if __import__("re").search(r"(^|[^a-z])(i|my|me|we|our)($|[^a-z])", t.lower()) else "other"
     nodes, edges = fx.shaped(fx.table_nodes(spark, d), fx.NODE), fx.shaped(fx.table_edges(spark, d), fx.EDGE)
-    out = ing.integrate(nodes, edges, _statements(spark, d), NOW, Providers(extract=lambda t: reply, classify=kind))
+    out = ing.integrate(nodes, edges, _statements(spark, d), F.to_timestamp(F.lit(STAMP)), Providers(extract=lambda t: reply, classify=kind))
     return out["counters"].select("statement_id", "classification", "compressed", "nodes_touched", "edges_added")
 
 
