@@ -2,10 +2,11 @@
 
 1. Words are counted; sources get targets by water-filling (see targets()).
 2. Each source's rows are put in a permuted order: by hash bucket, then hash. A (source, pass, bucket)
-   is a block. Two-level prefix sums (over the buckets' sums, then within a bucket) give each row its
-   place, so that no task holds a source.
+   is a block. Two-level prefix sums (over the buckets' sums, then within a bucket) tell which rows fit, so
+   that no task holds a source.
 3. A source whose target is p times its size and a rest gives all blocks p times, and of the rest's pass
-   the rows of the permuted order that fit, plus two single rows that fill what is left.
+   the rows of the permuted order that fit: a row too large for what is left is passed over in the next
+   round. If all rows that fit are not enough, some are taken again; at last the row nearest to the gap is added.
 4. The number of blocks each source gives is its exact quota. A binary tree over the output shards splits
    the vector of quotas: the left half's share of blocks is drawn from the multivariate hypergeometric
    distribution, source by source, by inversion with uniform numbers from a hash; the right half gets
@@ -23,7 +24,12 @@ from graphloom.llm.common import durable, table
 
 #: Fixed values of the mix: weights by the sources' order, repeated, and how often a source may be taken.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
-SHARDS, BUCKETS, SEED = 64, 1024, 20240301
+SHARDS, BUCKETS, SEED = 256, 1024, 20240301
+#: Parts of a shard that may be in different tasks, so that tasks needn't hold whole shards.
+PARTS = 256
+#: Rounds in which rows of the rest's pass are taken; each leaves a gap smaller than a row that it could hold.
+#: Rounds after those take rows again, for sources whose rest is larger than what fits it.
+FILLS, REPEATS = 3, 2
 #: Up to so many sources (rows of a few dozen bytes) are sent to all executors; beyond it a shuffled join is used.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,34 +117,39 @@ def mix(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, seed: int
     rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_key"))
     rows = durable(rows.withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int")))
 
-    sums = durable(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")))
-    plan = targets(sums.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")))
+    plan = targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = durable(plan.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))))
     few = plan.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
 
+    inside = Window.partitionBy("skey", "bucket")
+    numbered = rows.withColumn("rn", F.row_number().over(inside.orderBy("place", "doc_id", "size", "text_key"))).drop("place")
+    state = numbered.join(small(plan.drop("rest")), "skey").withColumn("extra", F.lit(0))
+    # Rows of the rest's pass, in the permuted order: of those that the gap still holds, the ones whose running sum fits.
+    gaps = plan.select("skey", F.col("rest").alias("gap"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start")).join(plan, "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("place", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(within)).withColumn("rn", F.row_number().over(within)).join(starts, ["skey", "bucket"])
-    placed = placed.withColumn("upto", F.col("start") + F.col("upto"))
-    fits = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
-    placed = durable(placed.drop("start", "place").withColumn("fits", fits))
-
-    # What the fitting rows leave is filled by the largest row that it holds, then by the row nearest to what is still left.
-    here = F.struct("bucket", "rn", "size")
-    gap = placed.groupBy("skey").agg((F.max("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))), F.lit(0))).alias("gap")).where("gap >= 1")
-    open_ = placed.where("not fits and rest > 0 and size > 0")
-    one = open_.join(small(gap), "skey").groupBy("skey", "gap").agg(F.max_by(here, F.when(F.col("size") <= F.col("gap"), F.struct("size", "bucket", "rn"))).alias("x"))
-    one = durable(one.select("skey", "x", (F.col("gap") - F.coalesce(F.col("x.size"), F.lit(0))).alias("gap")))
+    upto = inside.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(FILLS + REPEATS):
+        if k and gaps.where("gap >= 1").isEmpty():
+            break
+        free = F.col("extra") == 0 if k < FILLS else F.col("passes") + F.col("extra") < MOST_PASSES
+        open_ = free & (F.col("size") <= F.col("gap")) & (F.col("gap") > 0) & ((F.col("size") > 0) | F.lit(k == 0))
+        now = state.join(small(gaps), "skey").withColumn("open", open_).withColumn("step", F.when(F.col("open"), F.col("size")).otherwise(0))
+        sums = now.groupBy("skey", "bucket").agg(F.sum("step").alias("n"))
+        starts = sums.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        now = now.withColumn("upto", F.sum("step").over(upto)).join(starts, ["skey", "bucket"])
+        fits = F.col("open") & (F.col("start") + F.col("upto") <= F.col("gap"))
+        state = durable(now.withColumn("extra", F.col("extra") + fits.cast("int")).select(*state.columns))
+        used = state.groupBy("skey").agg(F.sum(F.col("size") * F.col("extra")).alias("used"))
+        gaps = durable(plan.join(used, "skey").select("skey", (F.col("rest") - F.col("used")).alias("gap")))
+    # Then the row whose size is nearest to what is left, if it brings the source nearer.
     off = F.abs(F.col("size") - F.col("gap"))
-    other = F.coalesce((F.col("bucket") != F.col("x.bucket")) | (F.col("rn") != F.col("x.rn")), F.lit(True))
-    two = open_.join(small(one), "skey").where(other & (off < F.col("gap"))).groupBy("skey").agg(F.min_by(here, F.struct(off, "bucket", "rn")).alias("y"))
-    fill = one.join(two, "skey", "left").select("skey", F.explode(F.array("x", "y")).alias("f")).where("f is not null").select("skey", F.col("f.bucket").alias("bucket"), F.col("f.rn").alias("rn"), F.lit(True).alias("fill"))
-    taken = placed.join(small(fill), ["skey", "bucket", "rn"], "left")
-    taken = taken.withColumn("last", F.col("fits") | F.coalesce("fill", F.lit(False))).withColumn("copies", F.col("passes") + F.col("last").cast("int"))
-    taken = durable(taken.select("doc_id", "size", "text_key", "skey", "bucket", "source_size", "target", "passes", "last", "copies"))
+    near = state.join(small(gaps.where("gap >= 1")), "skey").where((F.col("passes") + F.col("extra") < MOST_PASSES) & (F.col("size") > 0) & (off < F.col("gap")))
+    fill = near.groupBy("skey").agg(F.min(F.struct(off.alias("off"), "extra", "bucket", "rn")).alias("f")).select("skey", "f.bucket", "f.rn", F.lit(1).alias("fill"))
+    taken = state.join(small(fill), ["skey", "bucket", "rn"], "left")
+    taken = taken.withColumn("copies", F.col("passes") + F.col("extra") + F.coalesce("fill", F.lit(0)))
+    taken = durable(taken.select("doc_id", "size", "text_key", "skey", "bucket", "source_size", "target", "passes", "copies"))
 
     blocks = taken.groupBy("skey", "bucket", "passes").agg(F.max("copies").alias("n")).where("n > 0").select("skey", "bucket", F.explode(F.sequence(F.lit(1), "n")).alias("pass"))
     tree = splitting_tree(blocks.groupBy("skey").agg(F.count("*").alias("quota")), shards, seed)
@@ -162,8 +173,9 @@ def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     right = plan.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("shards").alias("__shards"), F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("copies", "shards")).alias("__n")).where(F.size("__shards") > 0)
     both = left.join(right, (F.col(id_col).eqNullSafe(F.col("__id"))) & (left["__key"] == right["__key"]) & (left["__n"] == right["__n"]))
     rows = both.select(*(docs[c] for c in docs.columns), F.posexplode("__shards").alias("__copy", "__shard"), right["__key"].alias("__text"))
-    dealt = rows.repartition(shards, "__shard")
-    return dealt.sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 2), "__text", "__copy")).drop("__copy", "__shard", "__text")
+    rows = rows.withColumn("__turn", F.xxhash64(F.lit(seed + 2), "__text", "__copy")).withColumn("__part", F.pmod("__turn", F.lit(PARTS)))
+    dealt = rows.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__turn")
+    return dealt.drop("__copy", "__shard", "__text", "__turn", "__part")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
