@@ -184,8 +184,13 @@ class _Conversation:
         return None if self.id is None else int(self.id), self.turns, self.all.hexdigest(), self.loss, self.learnt.hexdigest(), self.chars
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [f.split()[0] for f in BACK_SCHEMA.split(", ")]
+    columns = dict(zip(names, zip(*rows)))
+    return pd.DataFrame(columns | {"conv_id": pd.array(columns["conv_id"], "Int64")})  # a null must not turn ids to floats
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, done = None, []
     for batch in batches:
         for key, segment, start, length in zip(batch["key"], batch["segment"], batch["loss_start"], batch["loss_length"]):
@@ -196,10 +201,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 now = _Conversation(conv_id)
             now.add(segment, start, length)
         if len(done) >= 1000:
-            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+            yield _frame(done)
             done = []
     if now is not None:
-        yield pd.DataFrame([*done, now.row()], columns=names).astype({"conv_id": "Int64"})
+        yield _frame([*done, now.row()])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
