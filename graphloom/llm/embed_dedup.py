@@ -75,7 +75,7 @@ def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: i
     rows = rows.sort_values("rank")
     x = np.stack(rows["vector"].to_list()).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ranks = np.stack(rows["ranks"].to_list())
+    ranks = np.stack(rows["ranks"].to_list()) if k else None  # of the passes before
     rank, node, weight = rows["rank"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
     own = int((rank // BLOCK == block).sum())  # the rest belong to the next block
     links, lab = np.zeros(len(rows), np.int64), np.arange(len(rows))
@@ -112,8 +112,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     """
     if not 0 < window <= BLOCK:
         raise ValueError(f"window must be from 1 to {BLOCK}")
-    v = F.col(vector_col).cast("array<double>")
-    v = F.when(_valid(v), F.transform(v, lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
+    kind = vectors.schema[vector_col].dataType.simpleString()  # floats stay floats, at half the bytes; what is computed is double
+    v = F.when(_valid(F.col(vector_col)), F.transform(vector_col, lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind))  # -0.0 is 0.0
     key = F.sha2(F.to_binary(F.to_json(F.struct(v.alias("v"))), F.lit("utf-8")), 256)
     rows = durable(vectors.select(F.col(id_col).alias("vec_id"), v.alias("vector"), F.unhex(F.when(v.isNotNull(), key)).alias("digest")))
     distinct = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
@@ -132,7 +132,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank"))).alias("r"))  # n_passes entries
     placed = distinct.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"))
 
-    spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank"))
+    # A pass needs the ranks in the passes before it only.
+    spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("ranks", F.slice("ranks", F.lit(1), F.col("pass")))
     block = F.floor(F.col("rank") / F.lit(BLOCK))
     spread = spread.withColumn("block", F.explode(F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
 
