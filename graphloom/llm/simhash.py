@@ -5,7 +5,7 @@ choices of 3 blocks is a key, and every close pair shares one. Equal fingerprint
 start, so a group of copies is one row. A key's bucket is compared bit by bit in one task, and gives a
 spanning forest of its verified links, never its pairs. A bucket of more than BUCKET fingerprints is
 split once more: its bits outside the key are cut to 6 blocks, and each 3 of them make a finer key.
-Such a bucket has at most 17 free bits, and its links are found by flipping up to 3 of them, so no
+Such a bucket has at most 18 free bits, and its links are found by flipping up to 3 of them, so no
 bucket is too large and none is cut short.
 """
 
@@ -123,31 +123,58 @@ def _rows(level: int, k: int, key: np.ndarray | int, a: np.ndarray, b: np.ndarra
     return pd.DataFrame({"level": level, "k": k, "key": key, "a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
-    """From rows sorted by (k, key): arrays k, key, fp of whole buckets, many at a time. A bucket is held in memory: 8 bytes a fingerprint."""
-    rest: list[pd.DataFrame] = []
+def _cuts(k: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a new bucket begins, after the first."""
+    return np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
+
+
+def _buckets(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """From rows sorted by (k, key): whole buckets, many at a time (False), or a part of one bucket of more than ``most`` rows (True).
+
+    No more than a batch and ``most`` rows are held.
+    """
+    rest: list[pd.DataFrame] = []  # the last bucket so far
+    last, large = None, False
     for batch in batches:
         if not len(batch):
             continue
         k, key = batch["k"].to_numpy(), batch["key"].to_numpy()
-        new = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-        if rest and (rest[-1]["k"].iloc[-1] != k[0] or rest[-1]["key"].iloc[-1] != key[0]):
-            yield pd.concat(rest)
-            rest = []
-        if len(new):
-            yield pd.concat([*rest, batch.iloc[: new[-1]]])
-            rest = [batch.iloc[new[-1] :]]
-        else:
-            rest.append(batch)
+        cuts = _cuts(k, key)
+        if last == (k[0], key[0]):
+            head = batch.iloc[: cuts[0]] if len(cuts) else batch
+            rest.append(head)
+            large = large or sum(map(len, rest)) > most
+            if large:
+                yield pd.concat(rest), True
+                rest = []
+            if not len(cuts):
+                continue
+            batch = batch.iloc[cuts[0] :]
+            cuts = cuts[1:] - cuts[0]
+        if rest:
+            yield pd.concat(rest), False
+        end = cuts[-1] if len(cuts) else 0
+        if end:
+            yield batch.iloc[:end], False
+        rest, last, large = [batch.iloc[end:]], (batch["k"].iloc[-1], batch["key"].iloc[-1]), False
     if rest:
-        yield pd.concat(rest)
+        yield pd.concat(rest), False
+
+
+def _finer_rows(k: int, own: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A large bucket's fingerprints under its 20 finer keys."""
+    for j, mask in enumerate(_finer(k)):
+        yield _rows(1, k * len(CHOICES) + j, (own & np.uint64(mask)).view(np.int64), own, own)
 
 
 def _compare(batches: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFrame]:
-    """Links of the buckets (level 0), and finer rows of those that are too large (level 1)."""
-    for part in _buckets(batches):
+    """Links of the buckets (level 0), and finer rows of those that are too large (level 1). A finer bucket has 2^18 fingerprints at most."""
+    for part, large in _buckets(batches, 1 << 18 if level else BUCKET):
         k, key, fps = part["k"].to_numpy(), part["key"].to_numpy(), part["fp"].to_numpy().view(np.uint64)
-        cuts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1, [len(k)]))
+        if large:
+            yield from _finer_rows(int(k[0]), fps)
+            continue
+        cuts = np.concatenate(([0], _cuts(k, key), [len(k)]))
         sizes = np.diff(cuts)
         two = cuts[:-1][sizes == 2]
         a, b = fps[two], fps[two + 1]
@@ -157,12 +184,11 @@ def _compare(batches: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFra
             own = fps[cuts[at] : cuts[at + 1]]
             if len(own) <= BUCKET:
                 found.append(_forest(own))
-            elif level == 1:
+            elif level:
                 coarse = int(k[cuts[at]])
                 found.append(_dense_forest(own, ~_finer(coarse // len(CHOICES))[coarse % len(CHOICES)] & (1 << 64) - 1))
             else:
-                for j, mask in enumerate(_finer(int(k[cuts[at]]))):
-                    yield _rows(1, int(k[cuts[at]]) * len(CHOICES) + j, (own & np.uint64(mask)).view(np.int64), own, own)
+                yield from _finer_rows(int(k[cuts[at]]), own)
         yield _rows(0, 0, 0, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
 
 
