@@ -90,6 +90,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Store sequences by bucket: a folder holds sequences of one length, from which a batch can be drawn without padding."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

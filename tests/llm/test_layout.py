@@ -43,7 +43,7 @@ def data():
     return [(i, "some words here " * i, f"s{i % 5}", None, None) for i in range(60)] + [(60, None, None, None, None), (61, "", None, None, None), (3, "some words here " * 3, "s3", "z", "z"), (None, "x", "s0", None, None), (62, "véry <|endoftext|> long " * 9000, "s1", None, None)]
 
 
-def test_pack(spark, tokenizer):
+def test_pack(spark, tokenizer, tmp_path):
     got = packing.pack(spark.createDataFrame(data(), DOCS)).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
     want = Counter()
@@ -62,6 +62,8 @@ def test_pack(spark, tokenizer):
     assert read == want
     digest = packing.digest(packing.pack(spark.createDataFrame(data(), DOCS))).collect()
     assert Counter(zlib.crc32(bytes(r["ids"])) for r in got) == Counter(r["ids_crc32"] for r in digest)
+    packing.write_buckets(packing.pack(spark.createDataFrame(data(), DOCS)), f"{tmp_path}/b")
+    assert spark.read.parquet(f"{tmp_path}/b").where("length <> 1 << bucket").count() == 0 and len(list(tmp_path.glob("b/bucket=*"))) > 3
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([], DOCS), limit=1000)
