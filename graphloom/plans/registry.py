@@ -633,5 +633,5 @@ def maintenance_pass(spark, d):
     from graphloom.plans.passrun import run_pass
 
     _, report, events = run_pass(fx.toy_graph(spark), None, "pass-toy")
-    rows = [(k, str(v)) for k, v in sorted(report["stats"].items())] + [("events", str(len(events)))]
+    rows = [(k, str(v)) for k, v in sorted(report["stats"].items())] + [("events", str(events.count()))]
     return spark.createDataFrame(rows, "name string, value string")

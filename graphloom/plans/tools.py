@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.providers import Providers
-from graphloom.functions.text import CONTEXT_BUDGET, retrieval_text, tool_call
-from graphloom.functions.vectors import embed, hashed_vector
+from graphloom.functions.text import CONTEXT_BUDGET, tool_call
+from graphloom.functions.vectors import hashed_vector
 from graphloom.operators.ingest import ingest, upsert_edge, upsert_nodes
 from graphloom.operators.graph import counts, types
 from graphloom.operators.retrieve import citations, retrieve, traversal_records
@@ -74,9 +74,10 @@ def session_user(turns: int, user_id: str = "demo-user", conversation_id: str =
 class Agent:
     """Runs tools on a store. answer(question, context) makes the final text of a graph query; chat is a client's chat method."""
 
-    def __init__(self, store: Store, log_path: str, raw_folder: str, ontology_path: str, chat: Callable | None = None, answer: Callable[[str, str], str] | None = None, tools: list[str] | None = None, providers: Providers = Providers(), user: dict | None = None):
+    def __init__(self, store: Store, log_path: str, raw_folder: str, ontology_path: str, chat: Callable | None = None, answer: Callable[[str, str], str] | None = None, tools: list[str] | None = None, providers: Providers = Providers(), user: dict | None = None, embed_question: Callable = lambda q: hashed_vector(q).tolist()):
         self.store, self.log_path, self.raw_folder, self.ontology_path = store, log_path, raw_folder, ontology_path
         self.chat, self.answer, self.providers, self.user = chat, answer or (lambda q, context: context), providers, user or session_user(0)
+        self.embed_question = embed_question  # as the store's embedder
         self.exposed = [t for t in (list(TOOLS) if tools is None else tools) if t in TOOLS]
 
     def run(self, name: str, args: dict) -> dict:
@@ -86,8 +87,7 @@ class Agent:
 
     def _graph_query(self, args: dict) -> dict:
         question, graph, spark = str(args.get("question", "")), self.store.load(), self.store.spark
-        vectors = graph.nodes.select("id", embed(retrieval_text(F.col("label"), F.col("summary"))).alias("vector"))
-        seeds = durable(top_k(vectors, hashed_vector(question).tolist()).select(F.lit("q").alias("query_id"), "id", "rank"))
+        seeds = durable(top_k(self.store.vectors(), list(self.embed_question(question))).select(F.lit("q").alias("query_id"), "id", "rank"))
         included, touched = (durable(x) for x in retrieve(graph.nodes, graph.edges, seeds, CONTEXT_BUDGET))
         questions = spark.createDataFrame([("q", question)], "query_id string, question string")
         append_traversals(traversal_records(included, touched, seeds, questions, F.lit(datetime.now(timezone.utc).isoformat())), self.log_path)

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import retrieval_text
+from graphloom.functions.vectors import embed
 from graphloom.operators.graph import drop_nodes, put_nodes
 from graphloom.operators.graph import stats as graph_stats
 from graphloom.schema import EDGE, NODE, PASS_EVENT, empty, shaped
@@ -69,8 +71,8 @@ class Store:
     sees the old graph or the new one, and a save that fails leaves the old one. Old snapshots stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "graph"):
-        self.spark, self.path, self.name = spark, path.rstrip("/"), name
+    def __init__(self, spark: SparkSession, path: str, name: str = "graph", embedder=embed):
+        self.spark, self.path, self.name, self.embedder = spark, path.rstrip("/"), name, embedder
         self.pass_running = False
 
     def _versions(self) -> DataFrame | None:
@@ -89,10 +91,19 @@ class Store:
         at = f"{self.path}/snapshots/{now[1]}"
         return Graph(self.spark.read.schema(NODE).parquet(f"{at}/nodes"), self.spark.read.schema(EDGE).parquet(f"{at}/edges"))
 
+    def vectors(self) -> DataFrame:
+        """(id, vector) of the latest snapshot's nodes, for retrieval; they were embedded when it was saved."""
+        now = self.version()
+        if now is None:
+            return self.spark.createDataFrame([], "id string, vector array<double>")
+        return self.spark.read.parquet(f"{self.path}/snapshots/{now[1]}/vectors")
+
     def save(self, graph: Graph) -> int:
         version, snapshot = (self.version() or (0, ""))[0] + 1, uuid.uuid4().hex
         graph.nodes.write.parquet(f"{self.path}/snapshots/{snapshot}/nodes")
         graph.edges.write.parquet(f"{self.path}/snapshots/{snapshot}/edges")
+        texts = self.spark.read.schema(NODE).parquet(f"{self.path}/snapshots/{snapshot}/nodes")
+        texts.select("id", self.embedder(retrieval_text(F.col("label"), F.col("summary"))).alias("vector")).write.parquet(f"{self.path}/snapshots/{snapshot}/vectors")
         row = self.spark.createDataFrame([(version, snapshot)], "version long, snapshot string")
         row.write.mode("append").parquet(f"{self.path}/versions")
         return version

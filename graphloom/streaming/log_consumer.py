@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.functions.text import HISTORY_BUDGET, count_tokens
 from graphloom.operators.ingest import upsert_nodes
 from graphloom.operators.reinforce import reinforce
 from graphloom.schema import TRAVERSAL
@@ -47,6 +50,32 @@ def upsert_stream(stream: DataFrame, store: Store, checkpoint: str) -> None:
     consume(stream, checkpoint, use)
 
 
+def history_stream(turns: DataFrame, budget: int = HISTORY_BUDGET) -> DataFrame:
+    """(conv_id, kept, oldest, tokens) of each conversation that got turns (conv_id, turn, text): its newest turns within the budget.
+
+    The state holds those turns' numbers and tokens, and the newest turn that was left out: as sums only
+    grow, neither it nor an older one can come back.
+    """
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        numbers, tokens, cut = state.get if state.exists else ([], [], None)
+        rows = list(zip(numbers, tokens)) + [(int(t), int(n)) for part in parts for t, n in zip(part["turn"], part["tokens"])]
+        kept, used = [], 0
+        for t, n in sorted(rows, reverse=True):
+            if cut is not None and t <= cut:
+                break
+            if used + n > budget:
+                cut = t
+                break
+            kept.append((t, n))
+            used += n
+        state.update(([t for t, _ in kept], [n for _, n in kept], cut))
+        yield pd.DataFrame({"conv_id": [key[0]], "kept": [len(kept)], "oldest": pd.array([kept[-1][0] if kept else None], "Int64"), "tokens": [used]})
+
+    rows = turns.select("conv_id", "turn", count_tokens(F.col("text")).alias("tokens"))
+    return rows.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, kept long, oldest long, tokens long", "numbers array<bigint>, tokens array<bigint>, cut bigint", "update", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events (ts, event_type) counted by tumbling windows; rows later than the watermark are dropped. An addition of this engine's own."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

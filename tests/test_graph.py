@@ -20,7 +20,7 @@ from graphloom.schema import EDGE, NODE, empty, provenance, shaped
 from graphloom.sources.logs import append_traversals, read_traversals
 from graphloom.sources.store import Graph, Store, recent_events
 from graphloom.sources.texts import basename, read_text
-from graphloom.streaming.log_consumer import reinforce_from_log, upsert_stream
+from graphloom.streaming.log_consumer import history_stream, reinforce_from_log, upsert_stream, windowed_counts
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -228,8 +228,9 @@ def test_toy_pass(spark):
     assert graph.nodes.count() == 13 and graph.edges.count() == 12
     new = graph.edges.where("provenance.operation_type = 'traversal'").collect()
     assert [(r["source_id"], r["weight"], r["type"]) for r in new] == [(tesla[0]["id"], 0.5, "IN_INDUSTRY")]
-    kinds = Counter(e["kind"] for e in events)
+    kinds = Counter(e["kind"] for e in events.collect())
     assert kinds["merge"] == kinds["prune"] == kinds["link_form"] == 1 and kinds["pass_start"] == kinds["pass_end"] == 1
+    assert [e["kind"] for e in events.orderBy("seq").collect()][:3] == ["pass_start", "reinforce", "merge"]
     nodes2 = merge.drop_ghosts(graph.nodes, graph.edges)
     assert nodes2.count() == 11
 
@@ -387,6 +388,35 @@ def test_upsert_stream(spark, tmp_path):
     assert got.count() == 13 and got.where("label = 'Ulm'").first()["summary"] == "first"
 
 
+def test_history_stream_agrees_with_the_window(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(c, t, "x" * rng.randrange(1, 60)) for c in range(5) for t in range(12)]
+    rng.shuffle(rows)
+    schema = "conv_id long, turn long, text string"
+    latest = {}
+
+    def use(batch, _):
+        latest.update({r["conv_id"]: (r["kept"], r["oldest"], r["tokens"]) for r in batch.collect()})
+
+    for k in range(0, len(rows), 20):
+        spark.createDataFrame(rows[k : k + 20], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = history_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 40).writeStream.outputMode("update").foreachBatch(use).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen = spark.createDataFrame(rows[: k + 20], schema)
+        want = {r["conv_id"]: (r["n"], r["o"], r["t"]) for r in retrieve.history_window(seen, 40).groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("o"), F.max("kept_tokens").alias("t")).collect()}
+        assert {c: v for c, v in latest.items() if v[0]} == want
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [("2026-01-01 00:10:00", "a"), ("2026-01-01 00:50:00", "a"), ("2026-01-01 01:10:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    schema, got = spark.read.parquet(f"{tmp_path}/in").schema, []
+    counted = windowed_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    query = counted.writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend((r["event_type"], r["n"]) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(got) == [("a", 2), ("b", 1)]
+
+
 def test_recent_events(spark):
     rows = spark.createDataFrame([(NOW, "merge", i) for i in range(5)] + [(NOW, "prune", 9)], "ts timestamp, kind string, seq long")
     assert [r["seq"] for r in recent_events(rows, "merge", 2).collect()] == [4, 3]
