@@ -14,6 +14,8 @@ from graphloom.session import durable, in_order
 
 #: Fixed values.
 MOST_NEW, NEW_WEIGHT, SEED_SHARE = 20, 0.5, 10
+#: Pairs that a round asks first.
+FIRST_BATCH = 200
 
 
 def top_share(nodes: DataFrame, share: int = SEED_SHARE) -> DataFrame:
@@ -85,12 +87,21 @@ def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFra
 def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, providers: Providers, pass_id: str, now: Column, most: int = MOST_NEW) -> dict:
     """One round: edges with the new ones, the new ones, tried pairs, and counts.
 
-    All pairs are asked at once. Pairs after the one that fills the round's quota stay untried and may come
-    again; links made in this round open new pairs in the next.
+    Pairs are asked in order, FIRST_BATCH at a time and then ever more, until the round's quota is full.
+    Pairs after the one that fills it stay untried and may come again; links made in this round open new
+    pairs in the next.
     """
-    asked = answers(durable(pairs_to_ask(nodes, edges, seeds_, tried)), nodes, providers)
-    good = first_accepted(asked, most)
-    good = durable(good)
+    pairs = durable(pairs_to_ask(nodes, edges, seeds_, tried))
+    asked, upto, size = None, 0, FIRST_BATCH
+    while True:
+        batch = durable(pairs.where(F.col("place") > upto).orderBy("place").limit(size))
+        n, upto = batch.agg(F.count("*"), F.coalesce(F.max("place"), F.lit(0))).first()
+        some = answers(batch, nodes, providers)
+        asked = some if asked is None else asked.union(some)
+        if n < size or accepted(asked).count() >= most:
+            break
+        size *= 4
+    good = durable(first_accepted(asked, most))
     added = good.count()
     until = good.agg(F.max("place")).first()[0] if added >= most else None
     done = asked if until is None else asked.where(F.col("place") <= until)

@@ -25,15 +25,17 @@ def drop_ghosts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(gone, "id", "left_anti")
 
 
-def candidates(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, jaccard: float = JACCARD, cosine: float = COSINE, same_type: float = COSINE_SAME_TYPE, top: int = TOP) -> DataFrame:
+def candidates(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, jaccard: float = JACCARD, cosine: float = COSINE, same_type: float = COSINE_SAME_TYPE, top: int = TOP, nearest=self_top_k) -> DataFrame:
     """Pairs (a, b, sim, jac, rank) to be judged, ``rank`` rising in the order of judging. vectors: (id, vector).
 
+    nearest: what finds the top lists; similarity.window_top_k for graphs too large for all pairs.
+
     Only pairs in the top list of one of the two are looked at; negative similarities don't count. A pair
     is written from the end that came first among the nodes that list it; the order is that node's, then
     the place in its list.
     """
     live = active(nodes).select("id", "type", "seq")
-    lists = self_top_k(vectors.join(live, "id", "left_semi"), top).where("sim >= 0")
+    lists = nearest(vectors.join(live, "id", "left_semi"), top).where("sim >= 0")
     rows = lists.join(live, "id").withColumnRenamed("type", "ta").join(live.select(F.col("id").alias("other"), F.col("type").alias("tb")), "other")
     rows = neighbour_jaccard(rows.withColumnRenamed("id", "a").withColumnRenamed("other", "b"), neighbours(nodes, edges))
     fits = (F.col("sim") >= cosine) | (F.col("jac") >= jaccard) | ((F.col("ta") == F.col("tb")) & (F.col("sim") >= same_type))

@@ -343,10 +343,10 @@ def prune_round_stats(spark, d):
 # Merging
 
 
-@query(f"WITH {_GHOSTS} SELECT id FROM gn WHERE merged_into IS NULL OR id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)")
+@query(f"WITH {_GHOSTS} SELECT id FROM gn WHERE merged_into IS NULL OR id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def ghost_cleanup(spark, d):
-    """Merged suppliers go where no edge is left; here those of nations with even keys keep one."""
-    kept = fx.read(spark, d, "supplier").where("s_nationkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_id"))
+    """Merged suppliers go where no edge is left; here those with money keep one."""
+    kept = fx.read(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_id"))
     edges = kept.withColumn("target_id", F.lit("n0"))
     return merge.drop_ghosts(_ghosts(spark, d), edges).select("id")
 

@@ -200,6 +200,19 @@ def test_similarity(spark):
     assert hashed_vector("") .sum() == 0 and abs((hashed_vector("some text") ** 2).sum() - 1) < 1e-9
 
 
+def test_window_top_k_finds_near_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 24))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.15 for _ in range(6)])
+    frame = spark.createDataFrame([(f"v{i:04d}", v) for i, v in enumerate(x.tolist())], "id string, vector array<double>")
+    exact = {(r["id"], r["other"]) for r in similarity.self_top_k(frame, 5).collect()}
+    got = similarity.window_top_k(frame, 5, window=64).collect()
+    assert Counter(r["id"] for r in got) == {f"v{i:04d}": 5 for i in range(len(x))}
+    assert len(exact & {(r["id"], r["other"]) for r in got}) >= 0.95 * len(exact)
+
+
 def test_budget_ends_at_the_first_line_that_is_too_long(spark):
     nodes = spark.createDataFrame([("a", "T", "a", "x" * 40), ("b", "T", "b", "x" * 400), ("c", "T", "c", "")], "id string, type string, label string, summary string")
     ex = spark.createDataFrame([("q", "a", 0, 1), ("q", "b", 1, 1), ("q", "c", 1, 1)], "query_id string, id string, hop int, via int")
