@@ -8,7 +8,7 @@ import xxhash
 from graphloom.llm.common import mix64
 
 #: Hash values of words kept by a worker; the memory is emptied when it is full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 class WordHashes(dict):

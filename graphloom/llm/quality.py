@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import held_out, table
-from graphloom.llm.linear import Ftrl, WordHashes, sigmoid
+from graphloom.llm.linear import REMEMBERED, Ftrl, WordHashes, sigmoid
 from graphloom.llm.toxicity import sample
 
 MAX_TRAIN, MAX_POOL, ROUNDS, EPOCHS, SURE = 6000, 4000, 3, 2, 0.95
@@ -48,7 +48,7 @@ class Shapes(WordHashes):
         else:
             shape = token[:3]
         h = xxhash.xxh64_intdigest(token) & (1 << 48) - 1 | (xxhash.xxh64_intdigest(shape) & 0xFFFF) << 48
-        if len(self) >= 1 << 19:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[token] = h
         return h
