@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +12,17 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.functions.providers import Providers
+from graphloom.functions.vectors import embed, normalise
 from graphloom.operators import graph as g
 from graphloom.operators import ingest as ing
 from graphloom.operators import link, merge, prune, reinforce, retrieve, similarity
 from graphloom.plans import fixtures as fx
 from graphloom.plans import tools
 from graphloom.schema import bad_provenance, provenance
-from graphloom.sources.logs import append_traversals
-from graphloom.sources.store import recent_events
+from graphloom.sources.logs import append_traversals, read_traversals
+from graphloom.sources.store import Graph, Store, recent_events
 from graphloom.sources.texts import section
-from graphloom.streaming.log_consumer import consume, traversal_stream
+from graphloom.streaming.log_consumer import consume, history_stream, traversal_stream, windowed_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -520,7 +523,7 @@ ceil(length(text) / 4.0)::BIGINT > 8000 AS compressed, 2::BIGINT AS nodes_touche
 def integrate_statements(spark, d):
     """Users' turns integrated; the extractor names the user and the language, the same for all."""
     reply = '{"nodes": [{"type": "Person", "label": "user"}, {"type": "Topic", "label": "talk", "summary": "s"}], "edges": [{"source_label": "user", "target_label": "talk"}, {"source_label": "user", "target_label": "x"}]}'
-    kind = lambda t: "experience" if __import__("re").search(r"(^|[^a-z])(i|my|me|we|our)($|[^a-z])", t.lower()) else "other"
+    kind = lambda t: "experience" if re.search(r"(^|[^a-z])(i|my|me|we|our)($|[^a-z])", t.lower()) else "other"
     nodes, edges = fx.shaped(fx.table_nodes(spark, d), fx.NODE), fx.shaped(fx.table_edges(spark, d), fx.EDGE)
     out = ing.integrate(nodes, edges, _statements(spark, d), F.to_timestamp(F.lit(STAMP)), Providers(extract=lambda t: reply, classify=kind))
     return out["counters"].select("statement_id", "classification", "compressed", "nodes_touched", "edges_added")
@@ -610,23 +613,192 @@ def wrong_calls(spark, d):
     return tools.wrong_calls(rows)
 
 
-@query(f"WITH {_HITS} SELECT * FROM th")
-def log_consume_stream(spark, d):
-    """The traversal log written as JSON lines, consumed once by a stream in one batch, and counted."""
+# Streams
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors share."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named is None and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = f"{named or tempfile.mkdtemp(prefix='graphloom-')}/stream-{sc.applicationId}-{__import__('uuid').uuid4().hex}"
-    append_traversals(fx.traversals(spark, d), f"{base}/log")
+    return f"{named or tempfile.mkdtemp(prefix='graphloom-')}/{name}-{uuid.uuid4().hex}"
+
 
+def _write_batches(path: str, shape=lambda batch: batch):
     def use(batch: DataFrame, k: int) -> None:
-        reinforce.traverse_hits(batch).write.parquet(f"{base}/hits/batch={k}")
+        shape(batch).write.parquet(f"{path}/batch={k}")
+
+    return use
 
-    consume(traversal_stream(spark, f"{base}/log"), f"{base}/checkpoint", use)
+
+@query(f"WITH {_HITS} SELECT * FROM th")
+def log_consume_stream(spark, d):
+    """The traversal log written as JSON lines, consumed once by a stream, and counted."""
+    base = _folder(spark, "log-stream")
+    append_traversals(fx.traversals(spark, d), f"{base}/log")
+    consume(traversal_stream(spark, f"{base}/log"), f"{base}/checkpoint", _write_batches(f"{base}/hits", reinforce.traverse_hits))
     return spark.read.parquet(f"{base}/hits").groupBy("edge_id").agg(F.sum("traversed").alias("traversed"))
 
 
+@query(f"WITH {_HITS} SELECT * FROM th")
+def traversal_log_scan(spark, d):
+    """The log read as a table; blank and broken lines beside it are passed over."""
+    base = _folder(spark, "log-scan")
+    append_traversals(fx.traversals(spark, d), base)
+    spark.createDataFrame([("",), ("{broken",), ("  ",)], "value string").write.mode("append").text(base)
+    return reinforce.traverse_hits(read_traversals(spark, base))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts_stream(spark, d):
+    """Events counted by the hour, as a stream with a watermark; the last counts of each window."""
+    base = _folder(spark, "windows")
+    events = fx.read(spark, d, "events").select("ts", "event_type")
+    events.write.parquet(f"{base}/in")
+    counted = windowed_counts(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+    counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n").writeStream.outputMode("update").foreachBatch(_write_batches(f"{base}/out")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("start", "event_type").agg(F.max("n").alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, (sum(ceil(coalesce(length(text), 0) / 4.0)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM conversations)
+SELECT conv_id, count(*) FILTER (used <= 300) AS kept, min(turn) FILTER (used <= 300) AS oldest, coalesce(max(used) FILTER (used <= 300), 0) AS tokens FROM t GROUP BY conv_id""")
+def history_window_stream(spark, d):
+    """The rolling window of conversations, kept as a stream's state."""
+    base = _folder(spark, "history")
+    turns = fx.read(spark, d, "conversations").select("conv_id", "turn", "text")
+    turns.write.parquet(f"{base}/in")
+    rows = history_stream(spark.readStream.schema(turns.schema).parquet(f"{base}/in"), 300)
+    rows.writeStream.outputMode("update").foreachBatch(_write_batches(f"{base}/out")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/out")
+    return last.groupBy("conv_id").agg(F.max_by(F.struct("kept", "oldest", "tokens"), "batch").alias("r")).select("conv_id", "r.*")
+
+
+# Mutations
+
+
+@query(f"WITH {_N} SELECT id, CASE WHEN type = 'Nation' THEN upper(label) || '!' ELSE label END AS label, seq FROM n UNION ALL SELECT 'new' || r_regionkey, r_name, 5000000000 + r_regionkey FROM region")
+def node_put(spark, d):
+    """Nations overwritten, which keep their place, and nodes added."""
+    nodes = fx.table_nodes(spark, d)
+    over = nodes.where("type = 'Nation'").withColumn("label", F.concat(F.upper("label"), F.lit("!"))).withColumn("seq", F.col("seq") + 9_000_000_000)
+    new = nodes.where("type = 'Region'").withColumn("id", F.regexp_replace("id", "^r", "new")).withColumn("seq", F.col("seq") + 5_000_000_000)
+    return g.put_nodes(nodes, over.unionByName(new)).select("id", "label", "seq")
+
+
+@query(f"WITH {_N}, {_E} SELECT 'node' AS kind, type, count(*) AS n FROM n WHERE type <> 'Supplier' GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM e WHERE source_id NOT LIKE 's%' AND target_id NOT LIKE 's%' GROUP BY type")
+def node_delete(spark, d):
+    """All suppliers deleted, and every edge that touched one."""
+    nodes = fx.table_nodes(spark, d)
+    left, edges = g.drop_nodes(nodes, fx.table_edges(spark, d), nodes.where("type = 'Supplier'"))
+    return g.types(left).select(F.lit("node").alias("kind"), "*").union(g.types(edges).select(F.lit("edge").alias("kind"), "*"))
+
+
+@query(f"WITH {_E} SELECT id, source_id, target_id FROM e WHERE id <> 'cn7'")
+def edge_delete(spark, d):
+    return Graph(fx.table_nodes(spark, d), fx.table_edges(spark, d)).remove_edge("cn7").edges.select("id", "source_id", "target_id")
+
+
+@query(f"WITH {_E} SELECT id, type FROM e UNION ALL SELECT id, 'TWICE' FROM e WHERE type = 'IN_REGION'")
+def edge_append(spark, d):
+    """Parallel edges are fine."""
+    edges = fx.shaped(fx.table_edges(spark, d), fx.EDGE)
+    again = edges.where("type = 'IN_REGION'").withColumn("type", F.lit("TWICE"))
+    return Graph(fx.table_nodes(spark, d), edges).add_edges(again).edges.select("id", "type")
+
+
+@query(f"WITH {_E} SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM e GROUP BY type")
+def graph_save_and_load(spark, d):
+    """The graph saved twice and loaded: the second version counts."""
+    store = Store(spark, _folder(spark, "store"), "fx")
+    nodes = fx.shaped(fx.table_nodes(spark, d), fx.NODE)
+    store.save(Graph(nodes, fx.shaped(fx.table_edges(spark, d).limit(0), fx.EDGE)))
+    store.save(Graph(nodes, fx.shaped(fx.table_edges(spark, d), fx.EDGE)))
+    return store.load().edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{label}', {w}::DOUBLE)" for t, label, w in fx.TOY_NODES) + ") AS t(type, label, weight)")
+def toy_nodes(spark, d):
+    return fx.toy_graph(spark).nodes.select("type", "label", "weight")
+
+
+# Projections
+
+
+@query(f"WITH {_SEEDS} SELECT rank, id, id AS label FROM sd")
+def citations(spark, d):
+    seeds = _seeds(spark, d)
+    return retrieve.citations(fx.vector_nodes(spark, d), seeds).select("rank", "id", "label")
+
+
+@query(f"WITH {_N} SELECT id, label || ': ' || summary AS for_retrieval, type || ': ' || label || ' — ' || summary AS for_merging, '- [' || type || '] ' || label || ': ' || summary AS line FROM n")
+def embedding_texts(spark, d):
+    t, label, said = F.col("type"), F.col("label"), F.col("summary")
+    return fx.table_nodes(spark, d).select("id", tx.retrieval_text(label, said).alias("for_retrieval"), tx.merge_text(t, label, said).alias("for_merging"), tx.context_line(t, label, said).alias("line"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def normalised_vectors(spark, d):
+    return fx.read(spark, d, "embeddings").select("vec_id", F.round(normalise(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query("SELECT 'c' || c_custkey AS id, '[Customer] ' || c_name || ' -> [Nation] ' || n_name || ' -> [Region] ' || r_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def path_render(spark, d):
+    """The way from each customer to its region."""
+    rows = fx.read(spark, d, "customer").join(fx.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(fx.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    step = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.col(c).alias("label"))
+    return rows.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), tx.path_text(F.array(step("Customer", "c_name"), step("Nation", "n_name"), step("Region", "r_name"))).alias("path"))
+
+
+@query(f"""WITH {_N}, near AS (SELECT DISTINCT 's' || l_suppkey AS id, 'p' || l_partkey AS other FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+o AS (SELECT near.id, n.label || ': ' || substring(n.summary, 1, 120) AS said, row_number() OVER (PARTITION BY near.id ORDER BY seq, other) AS k, count(*) OVER (PARTITION BY near.id) AS total FROM near JOIN n ON n.id = other),
+j AS (SELECT id, string_agg(said, ' / ' ORDER BY k) FILTER (k <= 20) AS shown, max(total) AS total FROM o GROUP BY id)
+SELECT 's' || a.s_suppkey AS a, 's' || b.s_suppkey AS b, x.shown, x.total AS n_neighbours FROM supplier AS a JOIN supplier AS b ON b.s_suppkey = a.s_suppkey + 1 JOIN j AS x ON x.id = 's' || a.s_suppkey""")
+def judge_projection(spark, d):
+    """What a judge sees of the first of two neighbouring suppliers: 20 neighbours at most, and how many there are."""
+    nodes = fx.table_nodes(spark, d).withColumn("detail", F.lit(""))
+    rows = merge.judge_rows(_supplier_pairs(spark, d), nodes, fx.table_edges(spark, d))
+    return rows.select("a", "b", F.array_join("na.neighbours", " / ").alias("shown"), F.col("na.n_neighbours").cast("long").alias("n_neighbours"))
+
+
+@query("""WITH p AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier AS a JOIN supplier AS b ON b.s_suppkey = a.s_suppkey + 1 WHERE abs(a.s_nationkey - b.s_nationkey) <= 3), h AS (SELECT k, count(*) AS n FROM (SELECT x AS k FROM p UNION ALL SELECT y FROM p) GROUP BY k)
+SELECT 's' || s_suppkey AS id, round(s_acctbal * power(0.9::DOUBLE, coalesce(n, 0)), 6) AS weight FROM supplier LEFT JOIN h ON k = s_suppkey""")
+def caveat_decay(spark, d):
+    """Suppliers judged to be alike with a caveat, by their nations, lose a tenth each time."""
+    s = fx.read(spark, d, "supplier")
+    key = F.concat(F.lit("s"), F.col("s_suppkey"))
+    near = lambda c: s.select(key.alias(c), F.col("s_nationkey").alias(f"k{c}"))
+    judged = _supplier_pairs(spark, d).join(near("a"), "a").join(near("b"), "b").where("abs(ka - kb) <= 3").select("a", "b", F.lit("same_with_caveats").alias("verdict"))
+    return merge.decay_caveats(s.select(key.alias("id"), F.col("s_acctbal").alias("weight")), judged).select("id", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_TOPS} SELECT id FROM tp UNION SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey < 10")
+def link_seeds(spark, d):
+    """Seeds carried over that still exist, and the heaviest tenth."""
+    carried = spark.createDataFrame([(f"s{i}",) for i in range(10)] + [("gone",)], "id string")
+    return link.seeds(_weighed(spark, d), carried)
+
+
+_STRIP = [" a ", "\t b\n", "\u00a0c\u2003", "", " \u3000 ", "d e"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.strip()}')" for i, t in enumerate(_STRIP)) + ") AS t(i, label)")
+def strip_labels(spark, d):
+    return spark.createDataFrame(list(enumerate(_STRIP)), "i int, t string").select("i", tx.strip(F.col("t")).alias("label"))
+
+
+@query()
+def window_topk(spark, d):
+    """The approximate top lists (tests measure them against the exact ones)."""
+    return similarity.window_top_k(fx.vector_nodes(spark, d).select("id", "vector"), 5).select("id", "other", "rank")
+
+
+@query()
+def embedded_nodes(spark, d):
+    """Texts of all nodes embedded by the default embedder."""
+    return fx.table_nodes(spark, d).select("id", F.size(embed(tx.retrieval_text(F.col("label"), F.col("summary")))).alias("dim"))
+
+
 @query()
 def maintenance_pass(spark, d):
     """A whole pass over the toy graph, with the default providers: its counts."""
