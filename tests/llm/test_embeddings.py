@@ -68,6 +68,21 @@ def test_compare_halo():
     assert sorted(zip(got["node"], got["links"])) == [(int(rank[90]) * 10, 1), (int(rank[120]) * 10, 1)]
 
 
+def test_sketches_of_pairs_at_the_threshold_are_near_enough():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(20_000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    for threshold in (0.9, 0.97):
+        b = threshold * a + np.sqrt(1 - threshold**2) * side
+        apart = np.bitwise_count((embed_dedup.sketches(a) ^ embed_dedup.sketches(b)).view(np.uint64)).sum(axis=1)
+        assert (apart > embed_dedup.sketch_limit(threshold)).mean() < 1e-3
+    far = np.bitwise_count((embed_dedup.sketches(a[1:]) ^ embed_dedup.sketches(a[:-1])).view(np.uint64)).sum(axis=1)
+    assert (far <= embed_dedup.sketch_limit(0.9)).mean() < 0.01
+
+
 @pytest.mark.parametrize("n", [0, 1, 10, 1024, 10_000, 10**6, 10**9])
 def test_passes_follow_the_size(n):
     assert 1 <= embed_dedup.passes(n) <= 400
