@@ -11,6 +11,11 @@ every task compares a block of the same size, however the vectors are spread. Ea
 in all passes: a pair counts in the first pass that has it within the window, so each is counted once,
 without a list of pairs; what leaves a block are sums per vector and a spanning forest of links.
 
+The vectors themselves cross the network late. A first round of passes moves a sketch of each vector (256
+signs, 32 bytes) in its place, and keeps the vectors that have, in some window, another whose sketch is as
+near as that of a pair at the threshold can be, 4.5 standard deviations allowed. Only those, in most tables
+few, go through the passes with their vectors, where pairs are verified.
+
 The number of passes follows the number of vectors: passes() takes as many as give a pair at the
 threshold itself MISSED chance at most to be missed in all of them; closer pairs are missed less.
 """
@@ -32,7 +37,8 @@ from graphloom.llm.components import connected_components
 THRESHOLD, WINDOW, BLOCK, SIGNS, SEED = 0.9, 1024, 4096, 63, 20240229
 #: Chance that a pair at the threshold is in no window, by the estimate in passes().
 MISSED = 0.005
-STRIPE = 512
+#: Signs of a sketch; rows that are compared at once.
+SKETCH, STRIPE = 256, 512
 OUT_SCHEMA = "node long, links long, other long"
 
 
@@ -55,14 +61,29 @@ def hashes(x: np.ndarray, n_passes: int) -> np.ndarray:
     return np.stack([((x @ planes(x.shape[1], k)) >= 0).astype(np.int64) @ weights for k in range(n_passes)], axis=1)
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """For each row of x SKETCH signs of random projections, as 64-bit words."""
+    p = np.random.default_rng([SEED, x.shape[1], 1 << 20]).standard_normal((x.shape[1], SKETCH))
+    return np.packbits(x @ p >= 0, axis=1).view(np.int64)
+
+
+def sketch_limit(threshold: float) -> int:
+    """Signs in which the sketches of a pair at the threshold may differ."""
+    p = math.acos(threshold) / math.pi
+    return math.floor(SKETCH * p + 4.5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _hash_udf(n_passes: int):
+    """The hashes of all passes, then the words of the sketch."""
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def udf(vectors: pd.Series) -> pd.Series:
         out = np.empty(len(vectors), object)
         sizes = vectors.map(len)
         for dim in sizes.unique():
             at = np.flatnonzero(sizes.to_numpy() == dim)
-            found = hashes(np.stack(vectors.iloc[at].to_list()).astype(float), n_passes)
+            x = np.stack(vectors.iloc[at].to_list()).astype(float)
+            found = np.concatenate([hashes(x, n_passes), sketches(x)], axis=1)
             for i, row in zip(at, found):
                 out[i] = row
         return pd.Series(out)
@@ -70,6 +91,57 @@ def _hash_udf(n_passes: int):
     return udf
 
 
+def _ranked(hashed: DataFrame) -> DataFrame:
+    """``hashed`` (dim, pass, h, node, ...) with ``rank``, from 0, within the pass (of vectors of one length).
+
+    Counts of buckets by the leading signs give offsets; a window numbers the rows of a bucket.
+    """
+    rows = durable(hashed.withColumn("bucket", F.shiftright("h", SIGNS - 12)))
+    counts = rows.groupBy("dim", "pass", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("dim", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("dim", "pass", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("dim", "pass", "bucket").orderBy("h", "node")) - 1
+    found = rows.withColumn("k", within).join(offsets, ["dim", "pass", "bucket"])
+    return found.withColumn("rank", F.col("offset") + F.col("k")).drop("k", "offset", "bucket", "h")
+
+
+def _in_blocks(ranked: DataFrame, window: int) -> DataFrame:
+    """Rows by (dim, pass, block): a block's own BLOCK ranks, and the first ``window`` of the next block."""
+    block = F.floor(F.col("rank") / F.lit(BLOCK))
+    both = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    return ranked.withColumn("block", F.explode(both))
+
+
+def _meet(rows: pd.DataFrame, block: int, limit: int, window: int) -> pd.DataFrame:
+    """The nodes of a block (and the window after it) that have another with a near sketch within the window."""
+    rows = rows.sort_values("rank")
+    words = np.stack(rows["sketch"].to_list()).astype(np.int64).view(np.uint64)
+    rank = rows["rank"].to_numpy()
+    own, met = int((rank // BLOCK == block).sum()), np.zeros(len(rows), bool)
+    for i in range(0, own, STRIPE):
+        j = min(own, i + STRIPE)
+        to = slice(i, min(len(rows), j + window))
+        apart = np.zeros((j - i, to.stop - i), np.uint16)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[i:j, None, w] ^ words[None, to, w])
+        near = np.triu(apart <= limit, 1) & (rank[None, to] - rank[i:j, None] <= window)
+        met[i:j] |= near.any(axis=1)
+        met[to] |= near.any(axis=0)
+    return pd.DataFrame({"node": rows["node"].to_numpy()[met]})
+
+
+def with_near_sketch(distinct: DataFrame, n_passes: int, limit: int, window: int) -> DataFrame:
+    """(node): the vectors of ``distinct`` (node, vector) that may have a link."""
+    signs = distinct.select("node", F.size("vector").alias("dim"), _hash_udf(n_passes)("vector").alias("s"))
+    sketch = F.slice("s", F.lit(n_passes + 1), F.lit(SKETCH // 64)).alias("sketch")
+    hashed = signs.select("node", "dim", sketch, F.posexplode(F.slice("s", F.lit(1), F.lit(n_passes))).alias("pass", "h"))
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return _meet(part, key[2], limit, window)
+
+    return _in_blocks(_ranked(hashed), window).groupBy("dim", "pass", "block").applyInPandas(meet, "node long").distinct()
+
+
 def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: int) -> pd.DataFrame:
     """Sums of links and a forest of links of a block (and the window after it) of pass k."""
     rows = rows.sort_values("rank")
@@ -119,23 +191,17 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     distinct = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     total = distinct.count()
-    n_passes = n_passes or passes(total, threshold, window)
+    near = with_near_sketch(distinct, n_passes or passes(total, threshold, window), sketch_limit(threshold), window)
+    some = durable(distinct.join(near, "node", "left_semi").select("node", "copies", "vector"))
+    n_passes = n_passes or passes(some.count(), threshold, window)
 
-    # Ranks: within a pass (of vectors of one length), counts of buckets by the leading bits, then a number in the bucket.
-    hashed = distinct.select("node", F.size("vector").alias("dim"), F.posexplode(_hash_udf(n_passes)("vector")).alias("pass", "h"))
-    hashed = durable(hashed.withColumn("bucket", F.shiftright("h", SIGNS - 12)))
-    counts = hashed.groupBy("dim", "pass", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("dim", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("dim", "pass", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("dim", "pass", "bucket").orderBy("h", "node")) - 1
-    ranked = hashed.withColumn("k", within).join(offsets, ["dim", "pass", "bucket"]).select("node", "pass", (F.col("offset") + F.col("k")).alias("rank"))
+    signs = some.select("node", F.size("vector").alias("dim"), F.slice(_hash_udf(n_passes)("vector"), F.lit(1), F.lit(n_passes)).alias("s"))
+    ranked = _ranked(signs.select("node", "dim", F.posexplode("s").alias("pass", "h")))
     ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank"))).alias("r"))  # n_passes entries
-    placed = distinct.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"))
-
+    placed = some.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"))
     # A pass needs the ranks in the passes before it only.
     spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("ranks", F.slice("ranks", F.lit(1), F.col("pass")))
-    block = F.floor(F.col("rank") / F.lit(BLOCK))
-    spread = spread.withColumn("block", F.explode(F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
+    spread = _in_blocks(spread, window)
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _compare(part, key[1], key[2], threshold, window)
