@@ -5,11 +5,11 @@ pass's random projections, as one number. Similar vectors agree in many leading
 each other. Each vector is compared with those up to WINDOW places after it, by cosine in double
 precision, and the verified pairs of all passes are joined.
 
-Equal vectors are one node from the start. Ranks come from counts of hash buckets, not from a sort of
-all rows in one task. A pass is cut into blocks of BLOCK ranks, each with the WINDOW next rows, so that
-every task compares a block of the same size, however the vectors are spread. Each row carries its ranks
-in all passes: a pair counts in the first pass that has it within the window, so each is counted once,
-without a list of pairs; what leaves a block are sums per vector and a spanning forest of links.
+Equal vectors are one node from the start. Ranks come from a sort by ranges and the counts of its parts.
+A pass is cut into blocks of BLOCK ranks, each with the WINDOW next rows, so that every task compares a
+block of the same size, however the vectors are spread. Each row carries its ranks in the passes before: a
+pair counts in the first pass that has it within the window, so each is counted once, without a list of
+pairs; what leaves a block are sums per vector and a spanning forest of links.
 
 The vectors themselves cross the network late. A first round of passes moves a sketch of each vector (256
 signs, 32 bytes) in its place, and keeps the vectors that have, in some window, another whose sketch is as
@@ -94,15 +94,17 @@ def _hash_udf(n_passes: int):
 def _ranked(hashed: DataFrame) -> DataFrame:
     """``hashed`` (dim, pass, h, node, ...) with ``rank``, from 0, within the pass (of vectors of one length).
 
-    Counts of buckets by the leading signs give offsets; a window numbers the rows of a bucket.
+    Rows are dealt to tasks by ranges of the order itself, which are even however many rows begin alike;
+    the counts of the tasks' parts give offsets.
     """
-    rows = durable(hashed.withColumn("bucket", F.shiftright("h", SIGNS - 12)))
-    counts = rows.groupBy("dim", "pass", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("dim", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("dim", "pass", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("dim", "pass", "bucket").orderBy("h", "node")) - 1
-    found = rows.withColumn("k", within).join(offsets, ["dim", "pass", "bucket"])
-    return found.withColumn("rank", F.col("offset") + F.col("k")).drop("k", "offset", "bucket", "h")
+    order = ["dim", "pass", "h", "node"]
+    rows = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = durable(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).drop("h"))
+    parts = rows.groupBy("dim", "pass", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("dim", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    found = rows.join(offsets, ["dim", "pass", "part"])
+    return found.withColumn("rank", F.col("offset") + F.col("at") - F.col("first")).drop("at", "part", "first", "offset")
 
 
 def _in_blocks(ranked: DataFrame, window: int) -> DataFrame:
@@ -132,7 +134,7 @@ def _meet(rows: pd.DataFrame, block: int, limit: int, window: int) -> pd.DataFra
 
 def with_near_sketch(distinct: DataFrame, n_passes: int, limit: int, window: int) -> DataFrame:
     """(node): the vectors of ``distinct`` (node, vector) that may have a link."""
-    signs = distinct.select("node", F.size("vector").alias("dim"), _hash_udf(n_passes)("vector").alias("s"))
+    signs = durable(distinct.select("node", F.size("vector").alias("dim"), _hash_udf(n_passes)("vector").alias("s")))  # the ranges are sampled from it
     sketch = F.slice("s", F.lit(n_passes + 1), F.lit(SKETCH // 64)).alias("sketch")
     hashed = signs.select("node", "dim", sketch, F.posexplode(F.slice("s", F.lit(1), F.lit(n_passes))).alias("pass", "h"))
 
@@ -195,7 +197,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     some = durable(distinct.join(near, "node", "left_semi").select("node", "copies", "vector"))
     n_passes = n_passes or passes(some.count(), threshold, window)
 
-    signs = some.select("node", F.size("vector").alias("dim"), F.slice(_hash_udf(n_passes)("vector"), F.lit(1), F.lit(n_passes)).alias("s"))
+    signs = durable(some.select("node", F.size("vector").alias("dim"), F.slice(_hash_udf(n_passes)("vector"), F.lit(1), F.lit(n_passes)).alias("s")))
     ranked = _ranked(signs.select("node", "dim", F.posexplode("s").alias("pass", "h")))
     ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank"))).alias("r"))  # n_passes entries
     placed = some.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"))
