@@ -77,6 +77,18 @@ def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
+def select_mapping(paths: set[str]) -> Mapping | None:
+    """The mapping of a layout's fingerprint.
+
+    Fields of another layout beside a whole one (an extra column that is called ``prompt``, say) change
+    the fingerprint; then the mapping that takes up most of the paths counts, the first listed if several do.
+    """
+    exact = BY_FINGERPRINT.get(fingerprint(paths))
+    if exact is not None:
+        return exact
+    return max((m for m in MAPPINGS if set(m.paths) <= paths), key=lambda m: len(m.paths), default=None)
+
+
 def schema_paths(kind: T.DataType, path: str = "") -> set[str]:
     """The paths of a schema's leaves; an array's elements are ``[]``."""
     if isinstance(kind, T.StructType):
@@ -106,7 +118,7 @@ def _role(c: Column) -> Column:
 
 def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of a table, by the mapping that its schema's fingerprint selects."""
-    m = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
+    m = select_mapping(schema_paths(df.schema))
     if m is None:
         raise ValueError(f"no mapping for a table with {sorted(schema_paths(df.schema))}")
     i = F.col(id_col).cast("long").alias("conv_id")
@@ -126,7 +138,7 @@ def record_turns(record: str | None) -> list[tuple[str, str]]:
         value = json.loads(record or "")
     except ValueError:
         return []
-    m = BY_FINGERPRINT.get(fingerprint(value_paths(value))) if isinstance(value, dict) else None
+    m = select_mapping(value_paths(value)) if isinstance(value, dict) else None
     said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if m is None:
         return []

@@ -156,6 +156,7 @@ def test_layouts(spark):
         ({"instruction": "do", "input": "this", "output": "yes"}, [("user", "do\n\nthis"), ("assistant", "yes")]),
         ({"system": None, "prompt": "hi", "response": "yes"}, [("system", ""), *two]),
         ({"role": "user", "text": None, "turn": 0}, [("user", "")]),
+        ({"prompt": "other", "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yes"}]}, two),
         ({"strange": 1}, []),
         ([1], []),
         (None, []),
@@ -170,6 +171,7 @@ def test_layouts(spark):
         ("conv_id long, messages array<struct<role:string,content:string>>, extra int", [(1, [("user", "hi"), ("assistant", "yes")], 3)]),
         ("conv_id long, conversations array<struct<from:string,value:string>>", [(1, [("human", "hi"), ("gpt", "yes")])]),
         ("conv_id long, prompt string, response string", [(1, "hi", "yes")]),
+        ("conv_id long, turn long, role string, text string, prompt string, messages string", [(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", "yes", None, None)]),
         ("conv_id long, instruction string, input string, output string", [(1, "hi", "", "yes")]),
     ]
     for schema, data in tables:
