@@ -17,7 +17,11 @@ near as that of a pair at the threshold can be, 4.5 standard deviations allowed.
 few, go through the passes with their vectors, where pairs are verified.
 
 The number of passes follows the number of vectors: passes() takes as many as give a pair at the
-threshold itself MISSED chance at most to be missed in all of them; closer pairs are missed less.
+threshold itself MISSED chance at most to share its leading signs in none of them; closer pairs are missed
+less. Rows with the same leading signs are a run. Runs within the window are met by it; longer ones (a dense
+group, vectors that share a direction) are compared whole as well, block against block, so that the chance
+holds however the vectors are spread. Where the long runs of all passes make more pairs than the table has,
+all pairs are compared instead, once. In the first round only rows without a near sketch so far ask.
 """
 
 from __future__ import annotations
@@ -42,11 +46,15 @@ SKETCH, STRIPE = 256, 512
 OUT_SCHEMA = "node long, links long, other long"
 
 
+def leading(n: int, window: int = WINDOW) -> int:
+    """Signs that rows of a run share: even runs of n vectors are half the window at most."""
+    return 0 if n <= window else math.ceil(math.log2(n / window) + 1)
+
+
 def passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes for n vectors. A pair at the threshold agrees in a sign with chance 1 - angle / pi, and comes
-    within the window if it agrees in the leading log2(n / window) signs (at least one pass)."""
-    signs = max(0.0, math.log2(max(1, n) / window) + 1)
-    chance = (1 - math.acos(threshold) / math.pi) ** signs
+    """Passes for n vectors. A pair at the threshold agrees in a sign with chance 1 - angle / pi, and is
+    compared if it agrees in the leading() signs (at least one pass)."""
+    chance = (1 - math.acos(threshold) / math.pi) ** leading(n, window)
     return 1 if chance >= 1 - missed else max(1, math.ceil(math.log(missed) / math.log(1 - chance)))
 
 
@@ -92,7 +100,7 @@ def _hash_udf(n_passes: int):
 
 
 def _ranked(hashed: DataFrame) -> DataFrame:
-    """``hashed`` (dim, pass, h, node, ...) with ``rank``, from 0, within the pass (of vectors of one length).
+    """``hashed`` (dim, pass, h, node, ...) without h, with ``rank``, from 0, within the pass (of vectors of one length).
 
     Rows are dealt to tasks by ranges of the order itself, which are even however many rows begin alike;
     the counts of the tasks' parts give offsets.
@@ -114,6 +122,25 @@ def _in_blocks(ranked: DataFrame, window: int) -> DataFrame:
     return ranked.withColumn("block", F.explode(both))
 
 
+def _run(signs: int):
+    """The run of a row: its leading ``signs`` signs."""
+    return F.shiftright("h", SIGNS - signs).alias("run")
+
+
+def _long_runs(rows: DataFrame, window: int) -> DataFrame:
+    """(dim, pass, run, first, n): runs that the window doesn't cover, with their first rank and their rows."""
+    runs = rows.groupBy("dim", "pass", "run").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    return runs.where(F.col("n") > window + 1)
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of long runs (with first and n) by (dim, pass, run, i, j): each two blocks of BLOCK rows of a run, and each block alone."""
+    own = F.floor((F.col("rank") - F.col("first")) / F.lit(BLOCK))
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.lit(BLOCK)).cast("int"))).alias("with")
+    spread = rows.select("*", own.cast("int").alias("own"), other)
+    return spread.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", "first", "n")
+
+
 def _meet(rows: pd.DataFrame, block: int, limit: int, window: int) -> pd.DataFrame:
     """The nodes of a block (and the window after it) that have another with a near sketch within the window."""
     rows = rows.sort_values("rank")
@@ -132,45 +159,98 @@ def _meet(rows: pd.DataFrame, block: int, limit: int, window: int) -> pd.DataFra
     return pd.DataFrame({"node": rows["node"].to_numpy()[met]})
 
 
-def with_near_sketch(distinct: DataFrame, n_passes: int, limit: int, window: int) -> DataFrame:
+def _meet_far(rows: pd.DataFrame, i: int, j: int, limit: int) -> pd.DataFrame:
+    """Nodes of two blocks of a run, or of one, that have another with a near sketch; rows that ask are compared with all."""
+    words = np.stack(rows["sketch"].to_list()).astype(np.int64).view(np.uint64)
+    own, asks, met = rows["own"].to_numpy(), rows["asks"].to_numpy(bool), np.zeros(len(rows), bool)
+    for mine, to in {(i, j), (j, i)}:
+        a, b = np.flatnonzero(asks & (own == mine)), np.flatnonzero(own == to)
+        for at in range(0, len(a), STRIPE):
+            some = a[at : at + STRIPE]
+            apart = np.zeros((len(some), len(b)), np.uint16)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[some, None, w] ^ words[None, b, w])
+            near = (apart <= limit) & (some[:, None] != b[None, :])
+            met[some] |= near.any(axis=1)
+            met[b] |= near.any(axis=0)
+    return pd.DataFrame({"node": rows["node"].to_numpy()[met]})
+
+
+def with_near_sketch(distinct: DataFrame, n_passes: int, limit: int, window: int, signs_of_run: int) -> DataFrame:
     """(node): the vectors of ``distinct`` (node, vector) that may have a link."""
     signs = durable(distinct.select("node", F.size("vector").alias("dim"), _hash_udf(n_passes)("vector").alias("s")))  # the ranges are sampled from it
     sketch = F.slice("s", F.lit(n_passes + 1), F.lit(SKETCH // 64)).alias("sketch")
     hashed = signs.select("node", "dim", sketch, F.posexplode(F.slice("s", F.lit(1), F.lit(n_passes))).alias("pass", "h"))
+    ranked = _ranked(hashed.select("*", _run(signs_of_run)))
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _meet(part, key[2], limit, window)
 
-    return _in_blocks(_ranked(hashed), window).groupBy("dim", "pass", "block").applyInPandas(meet, "node long").distinct()
+    def meet_far(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return _meet_far(part, key[3], key[4], limit)
 
+    met = durable(_in_blocks(ranked.drop("run"), window).groupBy("dim", "pass", "block").applyInPandas(meet, "node long").distinct())
+    key, found = ["dim", "pass", "run"], met.withColumn("met", F.lit(True))
 
-def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: int) -> pd.DataFrame:
-    """Sums of links and a forest of links of a block (and the window after it) of pass k."""
-    rows = rows.sort_values("rank")
+    def long(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(_long_runs(rows, window)), key)
+        return rows.join(found, "node", "left").withColumn("asks", F.col("met").isNull()).drop("met")
+
+    rows = durable(long(ranked))
+    asked = rows.where("asks").agg(F.sum("n").cast("double").alias("pairs"), F.countDistinct("node").alias("nodes")).first()
+    if not asked["nodes"]:
+        return met
+    if asked["pairs"] > asked["nodes"] * signs.count():  # all rows in one run are fewer pairs
+        rows = long(ranked.where("pass = 0").withColumn("run", F.lit(0).cast("long")))
+    else:
+        rows = rows.join(F.broadcast(rows.where("asks").select(*key).distinct()), key)
+    return met.union(_in_pairs(rows).groupBy(*key, "i", "j").applyInPandas(meet_far, "node long")).distinct()
+
+
+def _count(rows: pd.DataFrame, k: int, threshold: float, window: int, spans, far: bool) -> pd.DataFrame:
+    """Sums of links and a forest of links of ``rows``, in order of rank. spans: rows from, to and those that
+    they meet, from and to, of which only later ones count; far: further apart than the window, else within it."""
     x = np.stack(rows["vector"].to_list()).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ranks = np.stack(rows["ranks"].to_list()) if k else None  # of the passes before
+    before = [np.stack(rows[c].to_list()) for c in ("ranks", "runs")] if k else None  # of the passes before
     rank, node, weight = rows["rank"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
-    own = int((rank // BLOCK == block).sum())  # the rest belong to the next block
     links, lab = np.zeros(len(rows), np.int64), np.arange(len(rows))
-    for i in range(0, own, STRIPE):
-        j = min(own, i + STRIPE)
-        close = x[i:j] @ x[i : min(len(rows), j + window)].T >= threshold
-        a, b = np.nonzero(np.triu(close, 1))
-        a, b = a + i, b + i
-        near = rank[b] - rank[a] <= window
-        a, b = a[near], b[near]
-        for p in range(k):  # an earlier pass has the pair within its window
-            new = np.abs(ranks[a, p] - ranks[b, p]) > window
-            a, b = a[new], b[new]
-        np.add.at(links, a, weight[b])
-        np.add.at(links, b, weight[a])
-        open_ = lab[a] != lab[b]
-        lab = min_labels(len(lab), lab[a[open_]], lab[b[open_]])[lab]
+    for i, j, lo, hi in spans:
+        close = x[i:j] @ x[lo:hi].T >= threshold
+        apart = rank[None, lo:hi] - rank[i:j, None]
+        close &= (apart > window) if far else (apart <= window)
+        close &= np.arange(lo, hi)[None, :] > np.arange(i, j)[:, None]
+        if k:
+            a, b = np.nonzero(close)
+            ranks, runs = before
+            for p in range(k):  # an earlier pass has the pair within its window or in a run
+                new = (np.abs(ranks[a + i, p] - ranks[b + lo, p]) > window) & (runs[a + i, p] != runs[b + lo, p])
+                close[a[~new], b[~new]] = False
+                a, b = a[new], b[new]
+        links[i:j] += close @ weight[lo:hi]
+        links[lo:hi] += weight[i:j] @ close
+        a, b = np.nonzero(close & (lab[i:j, None] != lab[None, lo:hi]))
+        lab = min_labels(len(lab), lab[a + i], lab[b + lo])[lab]
     at = np.flatnonzero((links > 0) | (lab != np.arange(len(rows))))
     return pd.DataFrame({"node": node[at], "links": links[at], "other": node[lab[at]]})
 
 
+def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: int) -> pd.DataFrame:
+    """Sums of links and a forest of links of a block (and the window after it) of pass k."""
+    rows = rows.sort_values("rank")
+    own = int((rows["rank"].to_numpy() // BLOCK == block).sum())  # the rest belong to the next block
+    stripes = ((i, min(own, i + STRIPE)) for i in range(0, own, STRIPE))
+    return _count(rows, k, threshold, window, ((i, j, i, min(len(rows), j + window)) for i, j in stripes), far=False)
+
+
+def _compare_far(rows: pd.DataFrame, k: int, i: int, j: int, threshold: float, window: int) -> pd.DataFrame:
+    """As _compare(), for blocks i and j of a run: the pairs further apart than the window."""
+    rows = rows.sort_values("rank")
+    own = int((rows["own"] == i).sum())
+    spans = ((a, min(own, a + STRIPE), a if i == j else own, len(rows)) for a in range(0, own, STRIPE))
+    return _count(rows, k, threshold, window, spans, far=True)
+
+
 def _valid(vector):
     ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce(vector.isNotNull() & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -193,22 +273,35 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     distinct = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     total = distinct.count()
-    near = with_near_sketch(distinct, n_passes or passes(total, threshold, window), sketch_limit(threshold), window)
+    near = with_near_sketch(distinct, n_passes or passes(total, threshold, window), sketch_limit(threshold), window, leading(total, window))
     some = durable(distinct.join(near, "node", "left_semi").select("node", "copies", "vector"))
-    n_passes = n_passes or passes(some.count(), threshold, window)
+    left = some.count()
+    n_passes, signs_of_run = n_passes or passes(left, threshold, window), leading(left, window)
 
     signs = durable(some.select("node", F.size("vector").alias("dim"), F.slice(_hash_udf(n_passes)("vector"), F.lit(1), F.lit(n_passes)).alias("s")))
-    ranked = _ranked(signs.select("node", "dim", F.posexplode("s").alias("pass", "h")))
-    ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank"))).alias("r"))  # n_passes entries
-    placed = some.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"))
-    # A pass needs the ranks in the passes before it only.
-    spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("ranks", F.slice("ranks", F.lit(1), F.col("pass")))
-    spread = _in_blocks(spread, window)
+    hashed = signs.select("node", "dim", F.posexplode("s").alias("pass", "h"))
+    sizes = hashed.groupBy("dim", "pass", _run(signs_of_run)).count().where(F.col("count") > window + 1)
+    if (sizes.agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0) > left**2:  # all pairs are fewer
+        hashed, signs_of_run = hashed.where("pass = 0"), 0
+    ranked = _ranked(hashed.select("*", _run(signs_of_run)))
+    ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank", "run"))).alias("r"))  # n_passes entries
+    placed = some.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"), F.col("r.run").alias("runs"))
+    # A pass needs the ranks and runs in the passes before it only.
+    before = {c: F.slice(c, F.lit(1), F.col("pass")) for c in ("ranks", "runs")}
+    spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("run", F.get("runs", F.col("pass"))).withColumns(before)
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _compare(part, key[1], key[2], threshold, window)
 
-    found = durable(spread.groupBy("dim", "pass", "block").applyInPandas(compare, OUT_SCHEMA))
+    def compare_far(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return _compare_far(part, key[1], key[3], key[4], threshold, window)
+
+    found = _in_blocks(spread, window).groupBy("dim", "pass", "block").applyInPandas(compare, OUT_SCHEMA)
+    runs = durable(_long_runs(ranked, window))
+    if not runs.isEmpty():
+        far = _in_pairs(spread.join(F.broadcast(runs), ["dim", "pass", "run"]))
+        found = found.union(far.groupBy("dim", "pass", "run", "i", "j").applyInPandas(compare_far, OUT_SCHEMA))
+    found = durable(found)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = distinct.select("node", "digest", "low", "copies").join(sums, "node", "left").join(parts, "node", "left")

@@ -55,6 +55,19 @@ def test_windows_and_blocks(spark, monkeypatch):
     assert (got["component_id"].to_numpy() == lab).mean() > 0.95
 
 
+def test_group_far_larger_than_the_window(spark):
+    """Every link of a dense group counts, whatever passes its windows leave out."""
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.1
+    vectors = np.concatenate([hot, rng.normal(size=(1500, 16))])
+    links, lab = brute(vectors.tolist(), 0.9)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.embedding_groups(frame, window=32).toPandas().sort_values("vec_id")
+    assert links[:900].min() > 32 and (got["n_links"].to_numpy() <= links).all()
+    assert got["n_links"].sum() >= 0.995 * links.sum()
+    assert (got["component_id"].to_numpy() == lab).mean() > 0.99
+
+
 def test_compare_halo():
     """A block's last rows meet the next block's first ones."""
     import pandas as pd
