@@ -68,6 +68,22 @@ def test_group_far_larger_than_the_window(spark):
     assert (got["component_id"].to_numpy() == lab).mean() > 0.99
 
 
+@pytest.mark.parametrize("mean_cosine", [0.5, 0.7])
+def test_vectors_that_share_a_direction(spark, mean_cosine):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1600, 64)) * np.sqrt((1 - mean_cosine) / 64)
+    x[:, 0] += np.sqrt(mean_cosine)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(200, 64))
+    side -= (side * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    vectors = np.concatenate([x, 0.91 * x[:200] + np.sqrt(1 - 0.91**2) * side])
+    close = np.triu(vectors @ vectors.T >= 0.9, 1)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.embedding_groups(frame, window=16).toPandas()
+    assert close.sum() >= 200 and 2 * close.sum() >= got["n_links"].sum() >= 0.98 * 2 * close.sum()
+
+
 def test_compare_halo():
     """A block's last rows meet the next block's first ones."""
     import pandas as pd
