@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.vectors import cosine
+from graphloom.session import durable
 
-#: Vectors in a block of the blocked comparison, and queries in one batch.
+#: Vectors in a block of the blocked comparison, and queries that are asked at a time.
 BLOCK, MOST_QUERIES = 4096, 4096
 
 
@@ -38,18 +41,27 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, sim, rank) for a batch of queries (query_id, vector), MOST_QUERIES at most, which go to every task.
+    """(query_id, id, sim, rank) for a set of queries (query_id, vector) of any size, MOST_QUERIES of which go to every task at a time.
 
-    Each task keeps k rows a query; those are ranked again per query.
+    Each task keeps k rows a query; those are ranked again per query. With more than MOST_QUERIES, a block's
+    lists are written to the checkpoint folder before the next block is asked.
     """
-    asked = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask in batches")
     schema = "query_id string, id string, sim double"
-    if not len(asked) or k < 1:
+    if k < 1:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    blocks, found = batched(queries.select("query_id", "vector").toLocalIterator(), MOST_QUERIES), None
+    for asked in blocks:
+        names, q = np.array([str(r["query_id"]) for r in asked]), _unit(pd.Series([r["vector"] for r in asked]))
+        some = _ranked(rows.select("id", "vector").mapInPandas(_search(names, q, k), schema), k)
+        if found is not None or len(asked) == MOST_QUERIES:
+            some = durable(some)
+        found = some if found is None else found.union(some)
+    if found is None:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    names, q = asked["query_id"].astype(str).to_numpy(), _unit(asked["vector"])
+    return _ranked(found.drop("rank"), k)  # a name may be in two blocks
+
 
+def _search(names: np.ndarray, q: np.ndarray, k: int):
     def search(batches):
         for part in batches:
             if not len(part):
@@ -59,7 +71,10 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 at = _best(ids, sims[:, j], k)
                 yield pd.DataFrame({"query_id": name, "id": ids[at], "sim": sims[at, j]})
 
-    found = rows.select("id", "vector").mapInPandas(search, schema)
+    return search
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -200,6 +200,22 @@ def test_similarity(spark):
     assert hashed_vector("") .sum() == 0 and abs((hashed_vector("some text") ** 2).sum() - 1) < 1e-9
 
 
+def test_top_k_of_more_queries_than_a_block(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "MOST_QUERIES", 7)
+    x = np.random.default_rng(8).normal(size=(60, 6))
+    frame = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    asked = frame.select(F.concat(F.lit("q"), "id").alias("query_id"), "vector").limit(21)  # three whole blocks
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for queries, n in ((asked, 21), (asked.union(frame.select(F.concat(F.lit("r"), "id"), "vector").limit(2)), 23)):
+        got = similarity.top_k_batch(frame, queries, 3).collect()
+        assert len(got) == 3 * n and len({r["query_id"] for r in got}) == n
+        for r in got:
+            best = np.argsort(-(unit @ unit[int(r["query_id"][2:])]))
+            assert r["id"] == f"v{best[r['rank'] - 1]}"
+
+
 def test_window_top_k_finds_near_rows(spark):
     import numpy as np
 
