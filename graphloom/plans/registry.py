@@ -414,6 +414,7 @@ def _weighed(spark, d):
 
 
 def _ties(spark, d):
+    """The edges without the supplies: those that the SQL of two hops follows."""
     return fx.table_edges(spark, d).where("type <> 'SUPPLIES'")
 
 
@@ -428,6 +429,13 @@ def bfs_two_hop(spark, d):
     return g.two_hops(nodes, _ties(spark, d), link.top_share(nodes))
 
 
+@query()
+def bfs_two_hop_all(spark, d):
+    """bfs_two_hop over all edges, hubs of suppliers and parts too (tests hold it against brute force)."""
+    nodes = _weighed(spark, d)
+    return g.two_hops(nodes, fx.table_edges(spark, d), link.top_share(nodes))
+
+
 @query("SELECT 'c' || c_custkey AS seed_id, 'r' || n_regionkey AS remote_id FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def direct_edge_anti(spark, d):
     """Customers with their nation and with their region: only the latter have no edge between them."""
@@ -443,6 +451,13 @@ def link_candidates(spark, d):
     return link.pairs_to_ask(nodes, _ties(spark, d), link.seeds(nodes, None), None).select("seed_id", "mid_id", "remote_id")
 
 
+@query()
+def link_candidates_all(spark, d):
+    """link_candidates over all edges."""
+    nodes = _weighed(spark, d)
+    return link.pairs_to_ask(nodes, fx.table_edges(spark, d), link.seeds(nodes, None), None).select("seed_id", "mid_id", "remote_id")
+
+
 @query("""WITH a AS (SELECT event_id AS place, value >= 50 AS holds, event_type AS what, CASE WHEN user_id % 3 = 0 THEN '  ' ELSE 'seen' END AS why, CASE WHEN user_id % 2 = 0 THEN 'LIKES' END AS edge_type FROM events)
 SELECT place, what, why, coalesce(edge_type, 'RELATED_TO') AS edge_type FROM a WHERE holds AND trim(what) <> '' AND trim(why) <> '' ORDER BY place LIMIT 20""")
 def link_accept(spark, d):

@@ -62,3 +62,27 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_two_hops_over_all_edges(spark):
+    """Both queries over the whole graph against brute force; the supplies are most of its edges."""
+    from graphloom.plans import fixtures as fx
+    from graphloom.plans import registry
+
+    folder = "/root/testdata/sf0.01"  # of the smallest tables, no supplier is among the seeds
+    near, seq = {}, {r["id"]: r["seq"] for r in fx.table_nodes(spark, folder).collect()}
+    for e in fx.table_edges(spark, folder).select("source_id", "target_id").distinct().collect():
+        near.setdefault(e[0], set()).add(e[1])
+        near.setdefault(e[1], set()).add(e[0])
+    want = {}
+    for r in registry.queries()["top_decile_seeds"](spark, folder).collect():
+        s = r["id"]
+        for m in sorted(near.get(s, ()), reverse=True):
+            want |= {(s, o): m for o in near[m] if o != s and o not in near[s]}
+    got = {(r["seed_id"], r["remote_id"]): r["mid_id"] for r in QUERIES["bfs_two_hop_all"](spark, folder).collect()}
+    assert got == want and any(m[0] == "p" for m in want.values())
+    asked = {}
+    for a, b in sorted(want, key=lambda p: (seq[p[0]], seq[p[1]])):
+        asked.setdefault(frozenset((a, b)), (a, want[a, b], b))
+    rows = QUERIES["link_candidates_all"](spark, folder).collect()
+    assert sorted(map(tuple, rows)) == sorted(asked.values())
