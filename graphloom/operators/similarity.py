@@ -15,6 +15,8 @@ from graphloom.session import durable
 
 #: Vectors in a block of the blocked comparison, and queries that are asked at a time.
 BLOCK, MOST_QUERIES = 4096, 4096
+#: Rows whose lists measure window_top_k(), and how much of them it has to find.
+SAMPLE, RECALL = 200, 0.95
 
 
 def top_k(rows: DataFrame, query: list[float], k: int = 5, vector_col: str = "vector") -> DataFrame:
@@ -110,42 +112,74 @@ def self_top_k(rows: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def window_top_k(rows: DataFrame, k: int = 5, passes: int = 12, window: int = 512, seed: int = 7) -> DataFrame:
-    """self_top_k() for large tables, approximately: n log n work, n x passes rows moved.
+def window_top_k(rows: DataFrame, k: int = 5, passes: int = 12, window: int = 512, seed: int = 7, recall: float = RECALL) -> DataFrame:
+    """self_top_k() for large tables, approximately: n log n work a pass, n x passes rows moved.
 
     A pass orders the rows by the signs of 62 random projections and compares each with the ``window`` rows
-    before it and after it. Similar rows agree in most signs, so they meet in some pass; a row's k best of
-    all passes are its list. Measured against self_top_k() in tests. Rows on both sides of a border
-    between two tasks don't meet in that pass.
+    before it and after it, whatever task has them. Similar rows agree in most signs, so they meet in some
+    pass; a row's k best of all passes are its list. How many passes that takes depends on the table's size
+    and its similarities: SAMPLE rows are asked exactly, and from ``passes`` on passes double until their
+    lists hold ``recall`` of what they should. Where passes come to move more rows than all pairs in blocks
+    would, the lists are those of self_top_k().
     """
+    if not 0 < window <= BLOCK:
+        raise ValueError(f"window must be from 1 to {BLOCK}")
+    rows = durable(rows.select("id", "vector"))
+    n = rows.count()
+    if k < 1 or passes * 4 * window >= n:
+        return self_top_k(rows, k)
+    some = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
+    exact = top_k_batch(rows, some.select(F.col("id").alias("query_id"), "vector"), k + 1).where("query_id <> id")
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
+    exact = durable(exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query_id").alias("id"), F.col("id").alias("other")))
+    wanted, done, found = recall * exact.count(), 0, None
+    while True:
+        new = _window_passes(rows, k, range(done, passes), window, seed)
+        found = durable(_best_of(new if found is None else found.drop("rank").union(new), k))
+        if found.join(exact, ["id", "other"], "left_semi").count() >= wanted:
+            return found
+        done, passes = passes, 2 * passes
+        if passes * 4 * window >= n:
+            return self_top_k(rows, k)
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
+    one = found.groupBy("id", "other").agg(F.max("sim").alias("sim"))
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _window_passes(rows: DataFrame, k: int, passes: range, window: int, seed: int) -> DataFrame:
+    """(id, other, sim): what the rows show each other in ``passes``."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def orders(vectors: pd.Series) -> pd.Series:
         x = _unit(vectors)
         weights = 1 << np.arange(61, -1, -1, dtype=np.int64)
-        found = [((x @ np.random.default_rng([seed, p, x.shape[1]]).standard_normal((x.shape[1], 62))) >= 0) @ weights for p in range(passes)]
+        found = [((x @ np.random.default_rng([seed, p, x.shape[1]]).standard_normal((x.shape[1], 62))) >= 0) @ weights for p in passes]
         return pd.Series(list(np.stack(found, axis=1)))
 
-    def compare(batches):
-        last, before = None, None  # the pass, and the rows that still count as neighbours
-        for batch in batches:
-            for p, part in batch.groupby("pass", sort=True):
-                if p != last:
-                    last, before = p, None
-                both = part if before is None else pd.concat([before, part])
-                fresh = 0 if before is None else len(before)
-                sims, ids = _unit(both["vector"]), both["id"].to_numpy()
-                for i in range(fresh, len(both), window):
-                    own, lo = np.arange(i, min(i + window, len(both))), max(0, i - window)
-                    s = sims[own] @ sims[lo : own[-1] + 1].T
-                    yield from _both_ways(ids[own], ids[lo : own[-1] + 1], s, k)
-                before = both.iloc[-window:]
-
-    signed = rows.select("id", "vector", F.posexplode(orders("vector")).alias("pass", "sign"))
-    dealt = signed.repartitionByRange("pass", "sign").sortWithinPartitions("pass", "sign")
-    found = dealt.mapInPandas(compare, "id string, other string, sim double").groupBy("id", "other").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rank")
+        sims, ids, rank = _unit(part["vector"]), part["id"].to_numpy(), part["rank"].to_numpy()
+        own, out = int((rank // BLOCK == key[1]).sum()), []  # the rest belong to the next block
+        for i in range(0, own, window):
+            j = min(own, i + window)
+            hi = min(len(part), j + window)
+            s = sims[i:j] @ sims[i:hi].T
+            out += _both_ways(ids[i:j], ids[i:hi], np.where(rank[None, i:hi] - rank[i:j, None] <= window, s, -np.inf), k)
+        return pd.concat(out, ignore_index=True).drop_duplicates(["id", "other"])
+
+    order = ["pass", "sign", "id"]
+    signed = durable(rows.select("id", "vector", F.posexplode(orders("vector")).alias("pass", "sign")))  # the ranges are sampled from it
+    dealt = durable(signed.repartitionByRange(*order).sortWithinPartitions(*order).drop("sign").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    parts = dealt.groupBy("pass", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = dealt.join(F.broadcast(offsets), ["pass", "part"]).select("id", "vector", "pass", (F.col("offset") + F.col("at") - F.col("first")).alias("rank"))
+    block = F.floor(F.col("rank") / F.lit(BLOCK))
+    both = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    return ranked.withColumn("block", F.explode(both)).groupBy("pass", "block").applyInPandas(compare, "id string, other string, sim double")
 
 
 def _both_ways(a: np.ndarray, b: np.ndarray, sims: np.ndarray, k: int):

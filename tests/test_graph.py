@@ -229,6 +229,21 @@ def test_window_top_k_finds_near_rows(spark):
     assert len(exact & {(r["id"], r["other"]) for r in got}) >= 0.95 * len(exact)
 
 
+def test_window_top_k_of_ordinary_vectors(spark):
+    """No planted copies, and far more rows than the windows of the first passes show."""
+    import numpy as np
+
+    x = np.random.default_rng(9).normal(size=(6000, 24))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -1)
+    exact = {(f"v{i}", f"v{j}") for i in range(len(x)) for j in np.argpartition(-sims[i], 5)[:5]}
+    frame = spark.createDataFrame([(f"v{i}", v) for i, v in enumerate(x.tolist())], "id string, vector array<double>")
+    got = similarity.window_top_k(frame, 5, window=16).collect()
+    assert Counter(r["id"] for r in got) == {f"v{i}": 5 for i in range(len(x))}
+    assert len(exact & {(r["id"], r["other"]) for r in got}) >= 0.93 * len(exact)
+
+
 def test_budget_ends_at_the_first_line_that_is_too_long(spark):
     nodes = spark.createDataFrame([("a", "T", "a", "x" * 40), ("b", "T", "b", "x" * 400), ("c", "T", "c", "")], "id string, type string, label string, summary string")
     ex = spark.createDataFrame([("q", "a", 0, 1), ("q", "b", 1, 1), ("q", "c", 1, 1)], "query_id string, id string, hop int, via int")
