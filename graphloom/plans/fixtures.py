@@ -154,10 +154,11 @@ def prune_sql(cascade: bool) -> str:
     return f"pe AS (SELECT id, source_id, target_id, type, weight, l_returnflag = 'R' AS suspicious, CASE WHEN l_returnflag = 'R' THEN {count} ELSE 0 END AS cnt FROM ({SUPPLIES_SQL}))"
 
 
-def merge_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers 2k and 2k+1 become m<k>, for the first ten k or as many as there are."""
+def merge_remap(spark: SparkSession, sf_dir: str, most: int | None = 10) -> DataFrame:
+    """Suppliers 2k and 2k+1 become m<k>, for the first ``most`` k or as many as there are; None: for all."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey")
-    rows = s.crossJoin(F.broadcast(s.agg(F.least(F.lit(10), F.floor(F.count("*") / F.lit(2))).alias("n"))))  # one row
+    pairs = F.floor(F.count("*") / F.lit(2))
+    rows = s.crossJoin(F.broadcast(s.agg((pairs if most is None else F.least(F.lit(most), pairs)).alias("n"))))  # one row
     k = F.floor(F.col("s_suppkey") / F.lit(2))
     return rows.where(k < F.col("n")).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("old_id"), F.concat(F.lit("m"), k).alias("new_id"))
 

@@ -49,9 +49,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _ghosts(spark: SparkSession, d: str) -> DataFrame:
+def _ghosts(spark: SparkSession, d: str, most: int | None = 10) -> DataFrame:
     """Nodes of the tables; the suppliers of the merge are merged."""
-    return fx.table_nodes(spark, d).drop("merged_into").join(fx.merge_remap(spark, d).select(F.col("old_id").alias("id"), F.col("new_id").alias("merged_into")), "id", "left")
+    return fx.table_nodes(spark, d).drop("merged_into").join(fx.merge_remap(spark, d, most).select(F.col("old_id").alias("id"), F.col("new_id").alias("merged_into")), "id", "left")
 
 
 _N = f"n AS ({fx.NODES_SQL})"
@@ -68,8 +68,8 @@ def node_scan_active(spark, d):
 
 
 @query(f"WITH {_GHOSTS} SELECT id, type, label, merged_into FROM gn")
-def node_scan(spark, d):
-    return _ghosts(spark, d).select("id", "type", "label", "merged_into")
+def node_scan(spark, d, most=10):
+    return _ghosts(spark, d, most).select("id", "type", "label", "merged_into")
 
 
 @query(fx.EDGES_SQL)
@@ -347,17 +347,17 @@ def prune_round_stats(spark, d):
 
 
 @query(f"WITH {_GHOSTS} SELECT id FROM gn WHERE merged_into IS NULL OR id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
-def ghost_cleanup(spark, d):
+def ghost_cleanup(spark, d, most=10):
     """Merged suppliers go where no edge is left; here those with money keep one."""
     kept = fx.read(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_id"))
     edges = kept.withColumn("target_id", F.lit("n0"))
-    return merge.drop_ghosts(_ghosts(spark, d), edges).select("id")
+    return merge.drop_ghosts(_ghosts(spark, d, most), edges).select("id")
 
 
 @query(f"""WITH {_E}, {fx.REMAP_SQL}, m AS (SELECT e.*, coalesce(a.new_id, source_id) AS s, coalesce(b.new_id, target_id) AS t, a.new_id IS NOT NULL OR b.new_id IS NOT NULL AS touched FROM e LEFT JOIN rm AS a ON a.old_id = source_id LEFT JOIN rm AS b ON b.old_id = target_id)
 SELECT source_id, target_id, type, weight, 1::BIGINT AS n FROM m WHERE NOT touched UNION ALL SELECT s, t, type, sum(weight), 1::BIGINT FROM m WHERE touched AND s <> t GROUP BY s, t, type""")
-def edge_migration(spark, d):
-    out = g.migrate(fx.table_edges(spark, d), fx.merge_remap(spark, d))
+def edge_migration(spark, d, most=10):
+    out = g.migrate(fx.table_edges(spark, d), fx.merge_remap(spark, d, most))
     return out.select("source_id", "target_id", "type", "weight", F.lit(1).cast("long").alias("n"))
 
 
@@ -366,17 +366,28 @@ _PAIRS = f"{fx.REMAP_SQL}, pr AS (SELECT new_id, min(s) AS x, max(s) AS y FROM (
 
 @query(f"""WITH {_PAIRS} SELECT 'Supplier' AS type, CASE WHEN a.s_acctbal >= b.s_acctbal THEN a.s_name ELSE b.s_name END AS label, a.s_name || ' / ' || b.s_name AS summary, round(a.s_acctbal + b.s_acctbal, 4) AS weight
 FROM pr JOIN supplier AS a ON a.s_suppkey = x JOIN supplier AS b ON b.s_suppkey = y""")
-def merge_nodes(spark, d):
+def merge_nodes(spark, d, most=10):
     """Neighbouring suppliers merged, weighed by their account balance."""
     s = fx.read(spark, d, "supplier")
     nodes = fx.shaped(s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.lit("Supplier").alias("type"), F.col("s_name").alias("label"), F.col("s_name").alias("summary"), F.col("s_acctbal").alias("weight"), F.col("s_suppkey").alias("seq")), fx.NODE)
-    both = fx.merge_remap(spark, d).withColumn("k", F.substring("old_id", 2, 20).cast("long")).groupBy("new_id").agg(F.min_by("old_id", "k").alias("a"), F.max_by("old_id", "k").alias("b"), F.min("k").alias("rank")).where("a <> b")
+    both = fx.merge_remap(spark, d, most).withColumn("k", F.substring("old_id", 2, 20).cast("long")).groupBy("new_id").agg(F.min_by("old_id", "k").alias("a"), F.max_by("old_id", "k").alias("b"), F.min("k").alias("rank")).where("a <> b")
     side = lambda c: nodes.select(F.col("id").alias(c), F.struct("id", "type", "label", "summary").alias(f"n{c}"))
     shown = both.select("a", "b", "rank").join(side("a"), "a").join(side("b"), "b")
     out, _ = merge.merge_nodes(nodes, both.select("a", "b", "rank"), merge.fused(shown, Providers()), "fx", F.to_timestamp(F.lit(STAMP)))
     return out.where("id like 'm-%'").select("type", "label", "summary", F.round("weight", 4).alias("weight"))
 
 
+def _over_all(f) -> None:
+    """Register ``f`` as <name>_all: all neighbouring suppliers are merged, not ten pairs."""
+    name = f"{f.__name__}_all"
+    _QUERIES[name] = lambda spark, d: f(spark, d, None)
+    _SQL[name] = _SQL[f.__name__].replace("least(10, count(*) // 2)", "count(*) // 2")
+
+
+for _f in (node_scan, ghost_cleanup, edge_migration, merge_nodes):
+    _over_all(_f)
+
+
 @query("""WITH p AS (SELECT a.s_nationkey AS x, b.s_nationkey AS y FROM supplier AS a JOIN supplier AS b ON b.s_suppkey = a.s_suppkey + 1), v AS (SELECT CASE WHEN x = y THEN 'same' WHEN abs(x - y) = 1 THEN 'same_with_caveats' ELSE 'different' END AS verdict FROM p)
 SELECT k.verdict, (SELECT count(*) FROM v WHERE v.verdict = k.verdict) AS n FROM (SELECT unnest(['same', 'different', 'same_with_caveats', 'error']) AS verdict) AS k""")
 def verdict_histogram(spark, d):
