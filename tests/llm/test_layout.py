@@ -20,15 +20,18 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.one_of(st.text(), st.text("ab 'stllvere\n\t  é😀١９_-.,1", max_size=80)))
+@given(text=st.one_of(st.text(), st.text("ab 'stllvere\n\t  é😀١９_-.,1", max_size=80), st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "é", "<", "s"])).map("".join)))
 def test_ids_are_those_of_the_tokenizer(tokenizer, text):
-    assert packing.encoder().encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_special_string_has_its_own_id(tokenizer):
+    assert packing.token_ids("a <|endoftext|> b") == [64, 220, 50256, 275] == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    assert packing.token_ids(None) == []
 
 
 @given(st.integers(1, 100_000))

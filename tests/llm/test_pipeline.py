@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from graphloom.llm.common import min_labels
 from graphloom.llm.mixing import mix
-from graphloom.llm.packing import encoder, piece_lengths
+from graphloom.llm.packing import piece_lengths, token_ids
 from graphloom.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,7 +72,7 @@ def test_stages(spark, tables):
     packed = stages["packing"](spark, mixed, folder)
     want = Counter()
     for r in mixed.collect():
-        want.update((r["doc_id"], x) for x in piece_lengths(len(encoder().encode_ordinary(r["text"] or "")) + 1))
+        want.update((r["doc_id"], x) for x in piece_lengths(len(token_ids(r["text"])) + 1))
     assert Counter((r["doc_id"], r["length"]) for r in packed.collect()) == want
 
 
