@@ -30,6 +30,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Copies of a row that a task unfolds at once.
+RUN = 4096
+
+
+def unfolded(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0 to ``n`` - 1, a row each; ``n`` is dropped. rows: written down, as they are read more than once.
+
+    A row with more than RUN copies becomes runs of RUN first, which are dealt to all tasks, so that
+    neither a list nor a task holds all copies of a row.
+    """
+    zero, most = F.lit(0).cast("long"), F.lit(RUN - 1).cast("long")
+    if rows.where(F.col(n) > RUN).isEmpty():
+        return rows.withColumn(name, F.explode(F.sequence(zero, F.col(n) - 1))).drop(n)
+    few = rows.where(F.col(n) <= RUN).withColumn(name, F.explode(F.sequence(zero, F.col(n) - 1))).drop(n)
+    runs = rows.where(F.col(n) > RUN).withColumn("__run", F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / F.lit(RUN)))))
+    runs = runs.repartition(*rows.columns, "__run")
+    first = F.col("__run") * RUN
+    many = runs.withColumn(name, F.explode(F.sequence(first, F.least(first + most, F.col(n) - 1)))).drop(n, "__run")
+    return few.unionByName(many)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (the splitmix64 finaliser)."""
     x = np.asarray(x, dtype=np.uint64) + np.uint64(_GOLDEN)

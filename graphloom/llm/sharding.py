@@ -7,7 +7,7 @@ number p gives shard p mod S and slot p div S. Both can be computed, and inverte
 
 Rows are numbered without a global sort: identical (id, size, checksum) rows are first summed to one row
 with a count, rows are dealt to a fixed number of hash buckets, the buckets' counts give offsets, and a
-window numbers the rows within a bucket. No text is shuffled.
+window numbers the rows within a bucket. A row with many copies is unfolded by many tasks. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import durable, mix64, table
+from graphloom.llm.common import durable, mix64, table, unfolded
 
 SHARDS, ROUNDS, SEED = 24, 6, 20240229
 #: Buckets for numbering; their counts are a table of so many rows at most.
@@ -72,8 +72,8 @@ def row_numbers(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     earlier = F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # At most BUCKETS rows are broadcast.
     placed = summed.withColumn("first", earlier).join(F.broadcast(offsets), "bucket")
-    first = F.col("offset") + F.col("first")
-    return placed.select(*keys, F.explode(F.sequence(first, first + F.col("n") - 1)).alias("row")), total
+    placed = durable(placed.select(*keys, (F.col("offset") + F.col("first")).alias("first"), "n"))
+    return unfolded(placed, "n", "copy").select(*keys, (F.col("first") + F.col("copy")).alias("row")), total
 
 
 def feistel_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

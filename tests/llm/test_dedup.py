@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from graphloom.llm import simhash
+from graphloom.llm import common, sharding, simhash
 from graphloom.llm.common import min_labels, mix64, one_of_each
 from graphloom.llm.components import connected_components
 from graphloom.llm.exact_dedup import build_hash, exact_dedup, exact_groups, digests, find_slots
@@ -70,6 +70,31 @@ def test_history_is_met_and_strangers_group_alone(spark):
     assert got == {(4, 3, True), (3, 2, True), (5, 2, False)}
 
 
+def test_an_outside_history_is_met(spark):
+    kind = "doc_id long, text string"
+    first = exact_groups(digests(spark.createDataFrame([], kind)), digests(spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], kind)))
+    got = exact_dedup(spark.createDataFrame([(5, "a"), (5, "a"), (6, "b"), (7, "d"), (None, "c")], kind), history=first).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=str) == sorted([(5, 5, 3, True), (5, 5, 3, False), (6, 9, 2, False), (7, 7, 1, True), (None, None, 2, True)], key=str)
+
+
+def test_the_smallest_id_is_an_id(spark):
+    low = -(2**63)
+    got = exact_dedup(spark.createDataFrame([(low, "a"), (None, "a"), (None, "b")], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in got), key=str) == sorted([(low, low, True), (None, low, False), (None, None, True)], key=str)
+
+
+@pytest.mark.parametrize("run", [7, 4096])
+def test_heavy_repeats(spark, monkeypatch, run):
+    """A row that is there 10,000 times: its copies are unfolded in runs, and one is kept."""
+    monkeypatch.setattr(common, "RUN", run)
+    docs = spark.range(10_000).selectExpr("IF(id % 100 = 0, id, -1) AS doc_id", "IF(id % 100 = 0, string(id), 'same') AS text", "id AS copy", "'x' AS n")
+    got = exact_dedup(docs).groupBy("keep_id", "group_size").agg({"*": "count", "doc_id": "min"}).toPandas()
+    assert len(got) == 101 and sorted(got["count(1)"])[-2:] == [1, 9900] and got["group_size"].max() == 9900
+    assert exact_dedup(docs).where("kept").count() == 101
+    numbered, total = sharding.row_numbers(docs.select("doc_id", "text"), ["doc_id", "text"])
+    assert total == 10_000 and numbered.select("row").distinct().count() == 10_000 and numbered.agg({"row": "max"}).first()[0] == 9999
+
+
 def test_one_of_each_keeps_one_of_equal_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "doc_id long, text string")
     picked = spark.createDataFrame([(1,), (None,)], "doc_id long")
