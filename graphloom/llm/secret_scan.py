@@ -7,7 +7,8 @@ with a new version is the only one run over old texts. Findings are kept per blo
 back to all paths that hold it.
 
 Spans of matches come from cutting the text at the rule's pattern: the lengths of the pieces between
-matches and of the matches add up to code-point offsets.
+matches and of the matches add up to code-point offsets. They are added up by doubling steps, so that a
+text with many matches takes little more than its share.
 """
 
 from __future__ import annotations
@@ -39,6 +40,17 @@ def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
 
 
+def _running(numbers: Column, n: Column) -> Column:
+    """The running sums of an array of ``n`` numbers: each step adds to an entry the one 1, 2, 4, ... places before."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0)))
+
+    return F.aggregate(steps, numbers, add)
+
+
 def _spans(text: Column, rule: tuple) -> Column:
     """The spans of a rule's matches in ``text``, in order; code points, end exclusive."""
     kind, _, pattern, test, least = rule
@@ -47,16 +59,16 @@ def _spans(text: Column, rule: tuple) -> Column:
     good = F.transform(found, lambda m: F.lit(True))
     if least is not None:
         good = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda g: F.length(g) >= least)
-    step = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g).cast("long")).alias("gap"), F.transform(found, lambda m: F.length(m).cast("long")).alias("len"), good.alias("good"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    size = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
+    cut = F.struct(size(found).alias("len"), size(gaps).alias("gap"), good.alias("good"))  # of gaps, the last has no match after it
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["len"]).alias("end"))
-        return F.struct((begin + x["len"]).alias("at"), F.when(x["good"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(cut: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(cut["gap"], F.lit(1), F.size(cut["len"])), cut["len"], lambda g, m: g + m), F.size(cut["len"]))
+        ended = F.arrays_zip(ends.alias("end"), cut["len"].alias("len"), cut["good"].alias("good"))
+        return F.transform(F.filter(ended, lambda x: x["good"]), lambda x: F.struct((x["end"] - x["len"]).alias("start"), x["end"].alias("end")))
 
-    spans = F.aggregate(step, start, add, lambda s: s["out"])
+    spans = F.get(F.transform(F.array(cut), placed), F.lit(0))  # the text is cut once
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     some = text.rlike(pattern) if test is None else text.rlike(test) & text.rlike(pattern)
     return F.when(some, spans).otherwise(none)
 

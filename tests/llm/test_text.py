@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -228,6 +229,15 @@ def test_secret_spans_against_python(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
 
 
+def test_many_matches(spark):
+    """The spans of a text with 40,000 matches, within seconds."""
+    text = "é" + ("0f" * 12 + " token=abcd" + " secret=abcdef ") * 20_000
+    began = time.time()
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()
+    assert (got["n_hex"], got["n_assign"], got["spans"]) == (20_000, 20_000, spans(text))
+    assert time.time() - began < 60
+
+
 def test_only_unseen_pairs_are_scanned(spark):
     first = spark.createDataFrame([(1, "token=abcdefg"), (2, "plain")], "doc_id long, text string")
     second = spark.createDataFrame([(3, "token=abcdefg"), (4, "token=fresh123")], "doc_id long, text string")
