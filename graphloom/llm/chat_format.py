@@ -34,7 +34,7 @@ CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
 ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\])")
 TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(CLOSE) + "(.*?)" + re.escape(END), re.S)
 LEARNT = "assistant"
-#: Names of roles in other layouts.
+#: Names of roles in the layout that has its own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 BACK_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -44,6 +44,7 @@ class Mapping:
     """How a layout becomes turns. turns: the array that holds them, "" if a row is a turn, None if fields are turns.
 
     role, text, order: names within a turn. fields: (role, names of fields, joined by an empty line), in order.
+    roles: other names that the layout has for roles. parts: the text is a list of parts, whose texts are joined by a line end.
     """
 
     name: str
@@ -53,12 +54,15 @@ class Mapping:
     text: str = ""
     order: str = ""
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
+    parts: bool = False
 
 
 MAPPINGS = [
     Mapping("rows", ("role", "text", "turn"), "", "role", "text", "turn"),
     Mapping("messages", ("messages[].content", "messages[].role"), "messages", "role", "content"),
-    Mapping("from-value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
+    Mapping("message-parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), "messages", "role", "content", parts=True),
+    Mapping("from-value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=tuple(ROLES.items())),
     Mapping("prompt-response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("prompt-completion", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("system-prompt-response", ("prompt", "response", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -98,24 +102,35 @@ def schema_paths(kind: T.DataType, path: str = "") -> set[str]:
     return {path}
 
 
-def value_paths(value, path: str = "") -> set[str]:
-    """The same for a parsed JSON value; an empty array or object is a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(value_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(value_paths(v, f"{path}[]") for v in value))
-    return {path}
+def value_paths(value) -> set[str]:
+    """The same for a parsed JSON value, however deep; an empty array or object is a leaf."""
+    found, open_ = set(), [("", value)]
+    while open_:
+        path, v = open_.pop()
+        if isinstance(v, dict) and v:
+            open_ += [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            open_ += [(f"{path}[]", x) for x in v]
+        else:
+            found.add(path)
+    return found
 
 
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _role(c: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+def _role(c: Column, m: Mapping) -> Column:
+    if not m.roles:
+        return _text(c)
+    known = F.create_map(*(F.lit(x) for pair in m.roles for x in pair))
     return F.coalesce(known[c], _text(c))
 
 
+def _content(c: Column, m: Mapping) -> Column:
+    return F.coalesce(F.array_join(F.transform(c, lambda p: p["text"]), "\n"), F.lit("")) if m.parts else _text(c)
+
+
 def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of a table, by the mapping that its schema's fingerprint selects."""
     m = select_mapping(schema_paths(df.schema))
@@ -123,33 +138,57 @@ def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         raise ValueError(f"no mapping for a table with {sorted(schema_paths(df.schema))}")
     i = F.col(id_col).cast("long").alias("conv_id")
     if m.turns == "":
-        return df.select(i, F.col(m.order).cast("long").alias("turn"), _role(F.col(m.role)).alias("role"), _text(F.col(m.text)).alias("text"))
+        return df.select(i, F.col(m.order).cast("long").alias("turn"), _role(F.col(m.role), m).alias("role"), _text(F.col(m.text)).alias("text"))
     if m.turns:
         rows = df.select(i, F.posexplode(m.turns).alias("turn", "t"))
-        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("t")[m.role]).alias("role"), _text(F.col("t")[m.text]).alias("text"))
+        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("t")[m.role], m).alias("role"), _content(F.col("t")[m.text], m).alias("text"))
     fields = [F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *(F.when(F.col(n) != "", F.col(n)) for n in names)).alias("text")) for r, names in m.fields]
     rows = df.select(i, F.posexplode(F.array(*fields)).alias("turn", "t"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
-def record_turns(record: str | None) -> list[tuple[str, str]]:
-    """Canonical (role, text) turns of one JSON record; none if it can't be parsed or its layout is unknown."""
+def _said(x) -> str:
+    """A JSON value as text: null is empty, what isn't a string is JSON; halves of a surrogate pair, which no text holds, become U+FFFD."""
+    said = "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return said.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _joined(x) -> str:
+    """A text, or the texts of a list of parts, a line each; parts without a text are JSON."""
+    if not isinstance(x, list):
+        return _said(x)
+    return "\n".join(_said(p["text"] if isinstance(p, dict) and "text" in p else p) for p in x)
+
+
+def read_record(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+    """(name of the layout, canonical (role, text) turns) of one JSON record.
+
+    None and no turns if it can't be parsed, is nested too deep for the parser, or has an unknown layout. An
+    empty list of turns is that layout without turns. An item of a list of turns that is no object is a
+    turn without a role; a text that is a list of parts is their texts, a line each.
+    """
     try:
         value = json.loads(record or "")
-    except ValueError:
-        return []
-    m = select_mapping(value_paths(value)) if isinstance(value, dict) else None
-    said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    if m is None:
-        return []
-    if m.turns is not None:
-        items = value[m.turns] if m.turns else [value]
-        return [(ROLES.get(said(t.get(m.role)), said(t.get(m.role))), said(t.get(m.text))) for t in items]
-    return [(r, "\n\n".join(x for n in names if (x := said(value.get(n))))) for r, names in m.fields]
+        if not isinstance(value, dict):
+            return None, []
+        m = select_mapping(value_paths(value)) or next((m for m in MAPPINGS if m.turns and value.get(m.turns) == []), None)
+        if m is None:
+            return None, []
+        if m.turns is None:
+            return m.name, [(r, "\n\n".join(x for n in names if (x := _said(value.get(n))))) for r, names in m.fields]
+        items, roles = value[m.turns] if m.turns else [value], dict(m.roles)
+        turns = [(_said(t.get(m.role)), _joined(t.get(m.text))) if isinstance(t, dict) else ("", _said(t)) for t in items]
+        return m.name, [(roles.get(r, r), text) for r, text in turns]
+    except (ValueError, RecursionError):
+        return None, []
+
+
+def record_turns(record: str | None) -> list[tuple[str, str]]:
+    return read_record(record)[1]
 
 
 def json_turns(df: DataFrame, record_col: str, id_col: str = "conv_id") -> DataFrame:
-    """Canonical turns of a column of JSON records, each by its own fingerprint. Unknown layouts give no turns."""
+    """Canonical turns of a column of JSON records, each by its own fingerprint. Unknown layouts give no turns: see json_layouts()."""
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])))
     def turns(records: pd.Series) -> pd.Series:
@@ -159,6 +198,18 @@ def json_turns(df: DataFrame, record_col: str, id_col: str = "conv_id") -> DataF
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def json_layouts(df: DataFrame, record_col: str, id_col: str = "conv_id") -> DataFrame:
+    """(conv_id, layout, n_turns) of each record; layout: null for records that json_turns() can't read."""
+
+    @F.pandas_udf(T.StructType([T.StructField("layout", T.StringType()), T.StructField("n", T.LongType())]))
+    def layout(records: pd.Series) -> pd.DataFrame:
+        found = [read_record(x) for x in records]
+        return pd.DataFrame({"layout": pd.Series([name for name, _ in found], dtype=object), "n": [len(turns) for _, turns in found]})
+
+    rows = df.select(F.col(id_col).cast("long").alias("conv_id"), layout(F.col(record_col)).alias("l"))
+    return rows.select("conv_id", "l.layout", F.col("l.n").alias("n_turns"))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
 
@@ -253,11 +304,11 @@ OP5_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{END}{OPEN} ok {CLOSE}' UNION ALL SELECT -1, 1, 'assistant', '{END}{OPEN} ok {CLOSE}'
-), f AS (SELECT *, length({_ESC.format("role")}) + length({_ESC.format("text")}) + {len(OPEN + CLOSE + END)} AS n FROM t)
+), f AS (SELECT *, '{OPEN}' || {_ESC.format("role")} || '{CLOSE}' || {_ESC.format("text")} || '{END}' AS segment FROM t)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, segment)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = '{LEARNT}'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = '{LEARNT}'), '')) AS loss_sha256,
-       sum(n)::BIGINT AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, segment) FILTER (role = '{LEARNT}'), '')) AS loss_sha256,
+       sum(length(segment))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """

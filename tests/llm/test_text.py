@@ -14,6 +14,7 @@ import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format as chat
 from graphloom.llm import quality, secret_scan, toxicity
@@ -182,6 +183,47 @@ def test_layouts(spark):
         chat.table_turns(spark.createDataFrame([(1, "x")], "conv_id long, strange string"))
 
 
+def test_odd_records(spark):
+    """Items that are no objects, lists of parts, empty lists, deep nesting, halves of surrogate pairs: none stops a task."""
+    deep = "[" * 100_000 + "]" * 100_000
+    parts = {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}, {"type": "text", "text": "you"}]}]}
+    records = [
+        ('{"messages": [{"role": "user", "content": "hi"}, "x", null, 3]}', "messages", [("user", "hi"), ("", "x"), ("", ""), ("", "3")]),
+        (json.dumps(parts), "message-parts", [("user", "hi\nyou")]),
+        ('{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": [{"type": "image"}]}]}', "messages", [("user", "hi"), ("assistant", '{"type": "image"}')]),
+        ('{"messages": []}', "messages", []),
+        ('{"conversations": []}', "from-value", []),
+        (deep, None, []),
+        ('{"messages": ' + deep + "}", None, []),
+        ('{"prompt": "a\\ud800b", "response": "\\ud83d\\ude00"}', "prompt-response", [("user", "a\ufffdb"), ("assistant", "😀")]),
+        ('{"messages": [{"role": "model", "content": "as it is"}]}', "messages", [("model", "as it is")]),
+        ('{"messages": "none"}', None, []),
+        ('{"strange": 1}', None, []),
+        (None, None, []),
+    ]
+    assert [chat.read_record(r) for r, *_ in records] == [(name, turns) for _, name, turns in records]
+    rows = spark.createDataFrame([(i, r) for i, (r, *_) in enumerate(records)], "conv_id long, record string")
+    got = chat.json_turns(rows, "record").orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in got] == [(i, *t) for i, (_, _, turns) in enumerate(records) for t in turns]
+    assert [tuple(r) for r in chat.json_layouts(rows, "record").orderBy("conv_id").collect()] == [(i, name, len(turns)) for i, (_, name, turns) in enumerate(records)]
+    table = spark.createDataFrame([(1, [("user", [("text", "hi"), ("text", "you")]), ("user", None)])], "conv_id long, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [tuple(r) for r in chat.table_turns(table).orderBy("turn").collect()] == [(1, 0, "user", "hi\nyou"), (1, 1, "user", "")]
+
+
+def test_chat_sql_agrees_on_ties_and_roles(spark):
+    """Roles of the plain layout stay as they are; tied turns come in the order of their formatted text."""
+    rng = random.Random(3)
+    rows = [(c, rng.choice([0, 1, None]), rng.choice(["human", "gpt", "user", "assistant", "user!", "<s>"]), rng.choice(["a", "a!", "<", "<s>", "", None, "é"])) for c in range(30) for _ in range(6)]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turn", F.coalesce("turn", F.lit(-1)))
+    con.execute("CREATE TABLE c AS SELECT conv_id, coalesce(turn, -1) AS turn, role, text FROM conversations")
+    con.unregister("conversations")
+    con.execute("ALTER TABLE c RENAME TO conversations")
+    want = {r[0]: r[1:] for r in con.execute(chat.OP5_SQL).fetchall() if r[0] >= 0}
+    assert {r["conv_id"]: tuple(r)[1:] for r in chat.format_chats(chat.table_turns(frame)).collect()} == want
+
+
 def test_formatted_chats_against_plain_python(spark):
     rng = random.Random(2)
     bits = ["[INST]", "</s>", "<s>", "[/INST]", "\\", "é😀", "word ", "\n", "<\\/s>"]
