@@ -40,10 +40,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_toxicity": op1_toxicity,
         "op2_mix_sources": op2_mix_sources,
         "op3_feistel_sharding": op3_feistel_sharding,
