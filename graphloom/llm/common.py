@@ -23,13 +23,35 @@ def durable(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where a one-machine session names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="graphloom-")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end there, on any file system that Spark reads."""
+    files, at = _place(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _place(spark, path)
+    files.delete(at, True)
+
+
 #: Copies of a row that a task unfolds at once.
 RUN = 4096
 
@@ -78,19 +100,49 @@ def min_labels(m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return lab
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the tables is called so."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def total_order(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, to sort by: rows that tie agree in every column. Types that can't be sorted are sorted as JSON."""
+    odd = lambda kind: any(w in kind for w in ("map<", "variant"))
+    return [F.to_json(F.struct(f"`{c}`")) if odd(kind) else F.col(f"`{c}`") for c, kind in df.dtypes]
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in the given order (of columns that tell rows apart); written down.
+
+    Rows are dealt to tasks by ranges; the tasks' counts, a row each, give offsets and are broadcast.
+    """
+    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    found = rows.join(F.broadcast(offsets), "__part")
+    return found.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__at", "__part", "__first", "__before")
+
+
 def one_of_each(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``docs`` whose id is in ``decisions`` (distinct ids, with the columns of ``also`` to match too).
 
-    Of rows that agree in all of those columns one stays, so that repeated rows leave one. Ids may be
-    null. The text of every row crosses the network once; the sort of the join serves the numbering.
+    Of rows that agree in all of those columns one stays, the first in the order of all columns, so that
+    repeated rows leave one and reruns leave the same. Ids may be null. The text of every row crosses the
+    network once; the sort of the join serves the numbering.
     """
     keys = [id_col, *also]
-    marks = decisions.select(*(F.col(k).alias(f"__{k}") for k in keys))
-    on = F.col(id_col).eqNullSafe(F.col(f"__{id_col}"))
+    mark, place = {k: unused(f"__{k}", docs) for k in keys}, unused("__n", docs)
+    marks = decisions.select(*(F.col(k).alias(mark[k]) for k in keys))
+    on = F.col(id_col).eqNullSafe(F.col(mark[id_col]))
     for k in also:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return docs.join(marks, on).withColumn("__n", n).where("__n = 1").drop("__n", *(f"__{k}" for k in keys))
+        on = on & (F.col(k) == F.col(mark[k]))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*total_order(docs)))
+    return docs.join(marks, on).withColumn(place, n).where(F.col(place) == 1).select(*(f"`{c}`" for c in docs.columns))
 
 
 def held_out(doc_id: Column) -> Column:

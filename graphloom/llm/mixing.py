@@ -9,18 +9,20 @@
    round. If all rows that fit are not enough, some are taken again; at last the row nearest to the gap is added.
 4. The number of blocks each source gives is its exact quota. A binary tree over the output shards splits
    the vector of quotas: the left half's share of blocks is drawn from the multivariate hypergeometric
-   distribution, source by source, by inversion with uniform numbers from a hash; the right half gets
-   what is left. So each shard gets what a uniformly random deal of all blocks would give it.
+   distribution, source by source (groups of sources first, where they are many), by inversion with
+   uniform numbers from a hash; the right half gets what is left. So each shard gets what a uniformly random deal of all blocks would give it.
 5. Each source's blocks, in hash order, are dealt to the shards in runs as long as their quotas: disjoint
    draws of permuted blocks. Within a shard rows are put in hash order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, table
+from graphloom.llm.common import durable, numbered, table, total_order, unused
 
 #: Fixed values of the mix: weights by the sources' order, repeated, and how often a source may be taken.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
@@ -30,6 +32,8 @@ PARTS = 256
 #: Rounds in which rows of the rest's pass are taken; each leaves a gap smaller than a row that it could hold.
 #: Rounds after those take rows again, for sources whose rest is larger than what fits it.
 FILLS, REPEATS = 3, 2
+#: Sources that one row of the tree holds, and tasks that its rows are dealt to where they are many.
+GROUP, NODE_TASKS = 64, 64
 #: Up to so many sources (rows of a few dozen bytes) are sent to all executors; beyond it a shuffled join is used.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,20 +46,21 @@ def words(text: F.Column) -> F.Column:
 def targets(sizes: DataFrame) -> DataFrame:
     """``sizes`` (skey, source_size; a row a source) with ``target``: shares of the total by weight, none above its cap.
 
-    With sources in the order of cap / weight, the capped ones are a prefix: the first source whose cap is
-    not below its share of what the earlier ones leave ends it, and sets the level for all later ones.
+    The level is what a weight of 1 gets. It starts as the total over all weights; sources whose cap is not
+    above their share keep the cap, and the others share what is left at a higher level, until no more
+    sources reach their caps. A round is one aggregate of whole numbers; few are needed.
     """
-    order = Window.orderBy("skey")
-    weight = F.array(*map(F.lit, WEIGHTS))[((F.row_number().over(order) - 1) % len(WEIGHTS)).cast("int")].cast("double")
-    rows = sizes.withColumn("w", weight).withColumn("cap", (F.col("source_size") * MOST_PASSES).cast("double"))
-    rows = rows.withColumn("ratio", F.col("cap") / F.col("w"))
-    by = Window.orderBy("ratio", "skey")
-    whole = Window.partitionBy()
-    earlier = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("source_size").over(whole) - earlier
-    rows = rows.withColumn("level", left / F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))).withColumn("n", F.row_number().over(by))
-    first = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("n", "level"))).over(whole)
-    target = F.least("cap", F.coalesce(first["level"] * F.col("w"), F.col("cap")))
+    weight = F.array(*map(F.lit, WEIGHTS))[(F.col("i") % len(WEIGHTS)).cast("int")]
+    rows = numbered(sizes.select("skey", "source_size"), ["skey"], "i").withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST_PASSES)
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("w") if capped >= 0 else F.lit(False)
+        n, spent, free = rows.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if n == capped or not free:
+            break
+        level, capped = (total - (spent or 0)) / free, n
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")) if free else F.col("cap").cast("double")
     return rows.select("skey", "source_size", target.alias("target"))
 
 
@@ -63,42 +68,80 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _log_factorial(x: str) -> str:
+    """SQL for the logarithm of x!: exact for small x, else Stirling's series (off by less than 1e-10)."""
+    small = ", ".join(f"{math.lgamma(k + 1)!r}D" for k in range(12))
+    return f"if({x} < 12, element_at(array({small}), cast({x} as int) + 1), {x} * ln({x}) - {x} + ln({2 * math.pi!r}D * {x}) / 2 + 1D / (12D * {x}) - 1D / (360D * {x} * {x} * {x}) + 1D / (1260D * pow({x}, 5)))"
+
+
 def _draw(total: str, good: str, n: str, u: str) -> str:
     """SQL for a hypergeometric number: of ``n`` drawn from ``total``, how many are among the ``good``; ``u`` is uniform in [0, 1).
 
-    Weights are built up from 8 standard deviations below the mean to 8 above, relative to the first.
+    By inversion: chances add up, from 8 standard deviations below the mean on, until they exceed ``u``.
     """
+    f = lambda x: _let(f"cast({x} as double)", "x", _log_factorial("x"))
+    first = f"exp({f('p.g')} + {f('p.t - p.g')} + {f('p.n')} + {f('p.t - p.n')} - {f('p.t')} - {f('a.lo')} - {f('p.g - a.lo')} - {f('p.n - a.lo')} - {f('p.t - p.g - p.n + a.lo')})"
     up = "s.w * (p.g - k + 1) * (p.n - k + 1) / (k * (p.t - p.g - p.n + k))"
     ks = "slice(sequence(a.lo, a.hi), 2, cast(a.hi - a.lo as int))"
-    whole = f"aggregate({ks}, struct(1D as w, 1D as c), (s, k) -> {_let(up, 'x', 'struct(x as w, s.c + x as c)')}).c"
-    pick = f"aggregate({ks}, struct(1D as w, 1D as c, if({u} * all < 1D, a.lo, a.hi) as at), (s, k) -> {_let(up, 'x', f'struct(x as w, s.c + x as c, if({u} * all >= s.c and {u} * all < s.c + x, k, s.at) as at)')}).at"
+    step = _let(up, "x", "struct(x as w, s.c + x as c, k as at)")
+    pick = f"aggregate({ks}, struct(b as w, b as c, a.lo as at), (s, k) -> if({u} < s.c, s, {step})).at"
     mean = "(cast(p.n as double) * p.g / p.t)"
     spread = f"(8 * sqrt({mean} * (1 - cast(p.g as double) / p.t) * (p.t - p.n) / greatest(p.t - 1, 1)) + 2)"
     low = f"greatest(greatest(p.n - (p.t - p.g), 0), cast(floor({mean} - {spread}) as bigint))"
     high = f"least(least(p.g, p.n), cast(ceil({mean} + {spread}) as bigint))"
-    inner = _let(f"struct({low} as lo, {high} as hi)", "a", f"if(a.lo >= a.hi, a.lo, {_let(whole, 'all', pick)})")
+    inner = _let(f"struct({low} as lo, {high} as hi)", "a", f"if(a.lo >= a.hi, a.lo, {_let(first, 'b', pick)})")
     return _let(f"struct(cast({total} as bigint) as t, cast({good} as bigint) as g, cast({n} as bigint) as n)", "p", f"if(p.t = 0, cast(0 as bigint), {inner})")
 
 
+_SUM = "aggregate(q, 0L, (s, x) -> s + x)"
+
+
+def _split(nodes: DataFrame, groups: int, level: int, seed: int) -> DataFrame:
+    """``nodes`` (first, n, grp, q) with ``got``: how much of each entry of q the left half of a node's shards gets.
+
+    A node's sources are in ``groups`` rows of GROUP entries at most. Sums of rows are entries of a row above,
+    and so on up to one row a node. From there down, entries draw one after the other within their row, of
+    what the row has drawn; so the whole is a multivariate hypergeometric draw, and no row grows with the sources.
+    """
+    rows = [nodes]
+    while groups > 1:
+        sums = rows[-1].groupBy("first", "n", F.expr(f"grp div {GROUP}").alias("grp"))
+        sums = sums.agg(F.sort_array(F.collect_list(F.struct(F.col("grp").alias("below"), F.expr(_SUM).alias("s")))).alias("e"))  # GROUP entries at most
+        rows.append(sums.select("first", "n", "grp", F.col("e.s").alias("q")))
+        groups = -(-groups // GROUP)
+    drawn = rows.pop().withColumn("want", F.expr(f"cast(floor({_SUM} * (n div 2) / n) as bigint)"))
+    while True:
+        u = f"((xxhash64({seed}, {level}, {len(rows)}, first, grp, i) & 9007199254740991L) / 9007199254740992D)"
+        state = f"struct({_SUM} as t, want as n, cast(array() as array<bigint>) as got)"
+        deal = _let(_draw("st.t", "q[i]", "st.n", u), "d", "struct(st.t - q[i] as t, st.n - d as n, concat(st.got, array(d)) as got)")
+        drawn = drawn.withColumn("got", F.expr(f"if(n = 1 or size(q) = 0, q, aggregate(sequence(0, size(q) - 1), {state}, (st, i) -> {deal}).got)")).drop("want")
+        if not rows:
+            return drawn
+        each = drawn.select("first", F.col("grp").alias("above"), F.posexplode("got").alias("at", "want"))
+        drawn = rows.pop().join(each.select("first", F.expr(f"above * {GROUP} + at").alias("grp"), "want"), ["first", "grp"])
+
+
 def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """For each source and shard its number of blocks: (skey, shard, blocks), from (skey, quota).
 
-    One row a node, with the quotas of all sources in an array; a level of the tree is one projection.
+    A node of the tree is as many rows as its sources need, GROUP a row, dealt to all tasks; a level is one
+    projection where all sources fit a row, else a few joins, written down.
     """
-    root = quotas.agg(F.sort_array(F.collect_list(F.struct("skey", F.col("quota").cast("long").alias("quota")))).alias("s"))
-    nodes = root.select(F.col("s.skey").alias("skeys"), F.coalesce("s.quota", F.array().cast("array<bigint>")).alias("q"), F.lit(0).alias("first"), F.lit(shards).alias("n"))
-    sum_q = "aggregate(q, 0L, (s, x) -> s + x)"
+    own = numbered(quotas.select("skey", F.col("quota").cast("long").alias("quota")), ["skey"], "i").withColumn("grp", F.expr(f"i div {GROUP}"))
+    held = own.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", "skey", "quota"))).alias("s"))  # GROUP entries at most
+    held = durable(held)
+    groups = held.count()
+    nodes = held.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "grp", F.col("s.quota").alias("q"))
     for level in range(max(0, (shards - 1).bit_length())):
-        u = f"((xxhash64({seed}, {level}, first, i) & 9007199254740991L) / 9007199254740992D)"
-        x = _draw("st.t", "q[i]", "st.n", u)
-        state = f"struct({sum_q} as t, cast(floor({sum_q} * (n div 2) / n) as bigint) as n, cast(array() as array<bigint>) as got)"
-        deal = f"aggregate(sequence(0, size(q) - 1), {state}, (st, i) -> {_let(x, 'd', 'struct(st.t - q[i] as t, st.n - d as n, concat(st.got, array(d)) as got)')}).got"
-        nodes = nodes.withColumn("got", F.expr(f"if(n = 1 or size(q) = 0, q, {deal})"))
+        nodes = _split(nodes, groups, level, seed)
         left = F.struct(F.col("got").alias("q"), F.col("first"), F.expr("if(n = 1, 1, n div 2)").alias("n"))
         right = F.struct(F.expr("zip_with(q, got, (a, b) -> a - b)").alias("q"), F.expr("int(first + n div 2)").alias("first"), F.expr("int(n - n div 2)").alias("n"))
-        nodes = nodes.withColumn("e", F.explode(F.when(F.col("n") == 1, F.array(left)).otherwise(F.array(left, right)))).select("skeys", "e.q", "e.first", "e.n")
+        nodes = nodes.withColumn("e", F.explode(F.when(F.col("n") == 1, F.array(left)).otherwise(F.array(left, right)))).select("grp", "e.q", "e.first", "e.n")
+        if groups > 1:
+            nodes = durable(nodes.repartition(NODE_TASKS, "first", "grp"))
     # A level's projections are many; the result is a row a source and shard.
-    pairs = nodes.select(F.col("first").alias("shard"), F.explode(F.arrays_zip(F.col("skeys").alias("skey"), F.col("q").alias("blocks"))).alias("p"))
+    pairs = nodes.join(held.select("grp", F.col("s.skey").alias("skeys")), "grp")
+    pairs = pairs.select(F.col("first").alias("shard"), F.explode(F.arrays_zip(F.col("skeys").alias("skey"), F.col("q").alias("blocks"))).alias("p"))
     return durable(pairs.select("p.skey", "shard", "p.blocks"))
 
 
@@ -164,18 +207,25 @@ def mix(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, seed: int
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", mine.alias("shards"), "text_key")
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it, in shards that are shuffled locally; same columns."""
+def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, by shard, and shuffled within; same columns.
+
+    shard_col: a column for the shard that the tree dealt the copy to. Without it the shards are runs of the
+    rows of a partition. Rows with the same id and text are told apart by their other columns, in order;
+    nulls, empty and long texts and extra columns, whatever their names, are as in mix().
+    """
     plan = mix(docs, shards, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    # Rows with the same id and text are told apart by a number on either side.
-    left = docs.withColumn("__key", key).withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(0))))
-    right = plan.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("shards").alias("__shards"), F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("copies", "shards")).alias("__n")).where(F.size("__shards") > 0)
-    both = left.join(right, (F.col(id_col).eqNullSafe(F.col("__id"))) & (left["__key"] == right["__key"]) & (left["__n"] == right["__n"]))
-    rows = both.select(*(docs[c] for c in docs.columns), F.posexplode("__shards").alias("__copy", "__shard"), right["__key"].alias("__text"))
-    rows = rows.withColumn("__turn", F.xxhash64(F.lit(seed + 2), "__text", "__copy")).withColumn("__part", F.pmod("__turn", F.lit(PARTS)))
-    dealt = rows.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__turn")
-    return dealt.drop("__copy", "__shard", "__text", "__turn", "__part")
+    key, place, copy, shard, turn, part = (unused(f"__{c}", docs) for c in ("key", "n", "copy", "shard", "turn", "part"))
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.withColumn(key, hashed).withColumn(place, F.row_number().over(Window.partitionBy(id_col, key).orderBy(*total_order(docs))))
+    there = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("copies", "shards"))
+    right = plan.withColumn("there", there).where(F.size("shards") > 0).alias("plan")
+    left = left.alias("rows")
+    same = F.col(f"rows.{id_col}").eqNullSafe(F.col("plan.doc_id")) & (F.col(f"rows.{key}") == F.col("plan.text_key")) & (F.col(f"rows.{place}") == F.col("plan.there"))
+    rows = left.join(right, same).select("rows.*", F.posexplode("plan.shards").alias(copy, shard))
+    rows = rows.withColumn(turn, F.xxhash64(F.lit(seed + 2), key, copy)).withColumn(part, F.pmod(turn, F.lit(PARTS)))
+    dealt = rows.repartition(shard, part).sortWithinPartitions(shard, part, turn)
+    return dealt.select(*(f"`{c}`" for c in docs.columns), *([] if shard_col is None else [F.col(shard).alias(shard_col)]))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
