@@ -7,9 +7,12 @@ precision, and the verified pairs of all passes are joined.
 
 Equal vectors are one node from the start. Ranks come from a sort by ranges and the counts of its parts.
 A pass is cut into blocks of BLOCK ranks, each with the WINDOW next rows, so that every task compares a
-block of the same size, however the vectors are spread. Each row carries its ranks in the passes before: a
-pair counts in the first pass that has it within the window, so each is counted once, without a list of
-pairs; what leaves a block are sums per vector and a spanning forest of links.
+block of the same size, however the vectors are spread. A pair counts in the first pass in which its two
+rows share their leading signs (a run, see below), which a task works out again from the vectors, for rows
+that have a link only: nothing but the vector itself crosses the network for it, and no list of pairs is
+made. Pairs that a window holds though they share no run in any pass are few, MISSED of those at the
+threshold; these are listed, 2 WINDOW a row and pass at most, and counted once each. What else leaves a
+block are sums per vector and a spanning forest of links.
 
 The vectors themselves cross the network late. A first round of passes moves a sketch of each vector (256
 signs, 32 bytes) in its place, and keeps the vectors that have, in some window, another whose sketch is as
@@ -43,7 +46,7 @@ THRESHOLD, WINDOW, BLOCK, SIGNS, SEED = 0.9, 1024, 4096, 63, 20240229
 MISSED = 0.005
 #: Signs of a sketch; rows that are compared at once.
 SKETCH, STRIPE = 256, 512
-OUT_SCHEMA = "node long, links long, other long"
+OUT_SCHEMA = "node long, links long, other long, stray boolean"
 
 
 def leading(n: int, window: int = WINDOW) -> int:
@@ -63,12 +66,25 @@ def planes(dim: int, k: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, k]).standard_normal((dim, SIGNS))
 
 
+def unit(vectors) -> np.ndarray:
+    """Vectors of one length as rows of length 1, in double precision. The largest component is divided out first, so that no square overflows or vanishes."""
+    x = np.stack(list(vectors)).astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def hashes(x: np.ndarray, n_passes: int) -> np.ndarray:
     """For each row of x the hash of each pass: its signs, the first the highest bit."""
     weights = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
     return np.stack([((x @ planes(x.shape[1], k)) >= 0).astype(np.int64) @ weights for k in range(n_passes)], axis=1)
 
 
+def runs(x: np.ndarray, n_passes: int, signs: int) -> np.ndarray:
+    """For each row of x its run in each pass: the leading ``signs`` signs of hashes()."""
+    weights = (1 << np.arange(signs - 1, -1, -1, dtype=np.int64))
+    return np.stack([((x @ planes(x.shape[1], k)[:, :signs]) >= 0).astype(np.int64) @ weights for k in range(n_passes)], axis=1)
+
+
 def sketches(x: np.ndarray) -> np.ndarray:
     """For each row of x SKETCH signs of random projections, as 64-bit words."""
     p = np.random.default_rng([SEED, x.shape[1], 1 << 20]).standard_normal((x.shape[1], SKETCH))
@@ -90,7 +106,7 @@ def _hash_udf(n_passes: int):
         sizes = vectors.map(len)
         for dim in sizes.unique():
             at = np.flatnonzero(sizes.to_numpy() == dim)
-            x = np.stack(vectors.iloc[at].to_list()).astype(float)
+            x = unit(vectors.iloc[at])
             found = np.concatenate([hashes(x, n_passes), sketches(x)], axis=1)
             for i, row in zip(at, found):
                 out[i] = row
@@ -207,48 +223,80 @@ def with_near_sketch(distinct: DataFrame, n_passes: int, limit: int, window: int
     return met.union(_in_pairs(rows).groupBy(*key, "i", "j").applyInPandas(meet_far, "node long")).distinct()
 
 
-def _count(rows: pd.DataFrame, k: int, threshold: float, window: int, spans, far: bool) -> pd.DataFrame:
+class _Runs:
+    """The runs of a task's rows in all passes, worked out for rows that are asked for."""
+
+    def __init__(self, x: np.ndarray, n_passes: int, signs: int):
+        self.x, self.n, self.signs = x, n_passes, signs
+        self.known, self.found = np.zeros(len(x), bool), np.zeros((len(x), n_passes), np.int64)
+
+    def of(self, *at: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(self.x), bool)
+        for rows in at:
+            new[rows] = True
+        new = np.flatnonzero(new & ~self.known)
+        if len(new):
+            self.found[new], self.known[new] = runs(self.x[new], self.n, self.signs), True
+        return self.found
+
+
+def _first_met(a: np.ndarray, b: np.ndarray, own: np.ndarray, of: _Runs, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs a, b of pass k count in it (share its run, and none before), and which share no run in any pass. own: the rows' runs in pass k."""
+    found, now = of.of(a, b), own[a] == own[b]
+    new, stray = now.copy(), ~now
+    for p in range(of.n):
+        if p == k or not (stray.any() or (p < k and new.any())):
+            continue
+        same = found[a, p] == found[b, p]
+        stray &= ~same
+        if p < k:
+            new &= ~same
+    return new, stray
+
+
+def _count(rows: pd.DataFrame, k: int, threshold: float, window: int, spans, far: bool, n_passes: int, signs: int) -> pd.DataFrame:
     """Sums of links and a forest of links of ``rows``, in order of rank. spans: rows from, to and those that
     they meet, from and to, of which only later ones count; far: further apart than the window, else within it."""
-    x = np.stack(rows["vector"].to_list()).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    before = [np.stack(rows[c].to_list()) for c in ("ranks", "runs")] if k else None  # of the passes before
+    x = unit(rows["vector"])
     rank, node, weight = rows["rank"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
-    links, lab = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    of, own = _Runs(x, n_passes, signs), rows["run"].to_numpy() if signs else None
+    links, lab, strays = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
     for i, j, lo, hi in spans:
         close = x[i:j] @ x[lo:hi].T >= threshold
         apart = rank[None, lo:hi] - rank[i:j, None]
         close &= (apart > window) if far else (apart <= window)
         close &= np.arange(lo, hi)[None, :] > np.arange(i, j)[:, None]
-        if k:
+        if signs:  # without signs all rows are one run
             a, b = np.nonzero(close)
-            ranks, runs = before
-            for p in range(k):  # an earlier pass has the pair within its window or in a run
-                new = (np.abs(ranks[a + i, p] - ranks[b + lo, p]) > window) & (runs[a + i, p] != runs[b + lo, p])
-                close[a[~new], b[~new]] = False
-                a, b = a[new], b[new]
+            new, stray = _first_met(a + i, b + lo, own, of, k)
+            close[a[~new], b[~new]] = False
+            strays.append(np.stack([a[stray] + i, b[stray] + lo]))
         links[i:j] += close @ weight[lo:hi]
         links[lo:hi] += weight[i:j] @ close
         a, b = np.nonzero(close & (lab[i:j, None] != lab[None, lo:hi]))
         lab = min_labels(len(lab), lab[a + i], lab[b + lo])[lab]
     at = np.flatnonzero((links > 0) | (lab != np.arange(len(rows))))
-    return pd.DataFrame({"node": node[at], "links": links[at], "other": node[lab[at]]})
+    out = pd.DataFrame({"node": node[at], "links": links[at], "other": node[lab[at]], "stray": False})
+    if not strays:
+        return out
+    a, b = np.concatenate([*strays, *(s[::-1] for s in strays)], axis=1)  # from either end
+    return pd.concat([out, pd.DataFrame({"node": node[a], "links": weight[b], "other": node[b], "stray": True})])
 
 
-def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: int) -> pd.DataFrame:
+def _compare(rows: pd.DataFrame, k: int, block: int, threshold: float, window: int, n_passes: int = 1, signs: int = 0) -> pd.DataFrame:
     """Sums of links and a forest of links of a block (and the window after it) of pass k."""
     rows = rows.sort_values("rank")
     own = int((rows["rank"].to_numpy() // BLOCK == block).sum())  # the rest belong to the next block
     stripes = ((i, min(own, i + STRIPE)) for i in range(0, own, STRIPE))
-    return _count(rows, k, threshold, window, ((i, j, i, min(len(rows), j + window)) for i, j in stripes), far=False)
+    return _count(rows, k, threshold, window, ((i, j, i, min(len(rows), j + window)) for i, j in stripes), False, n_passes, signs)
 
 
-def _compare_far(rows: pd.DataFrame, k: int, i: int, j: int, threshold: float, window: int) -> pd.DataFrame:
+def _compare_far(rows: pd.DataFrame, k: int, i: int, j: int, threshold: float, window: int, n_passes: int = 1, signs: int = 0) -> pd.DataFrame:
     """As _compare(), for blocks i and j of a run: the pairs further apart than the window."""
     rows = rows.sort_values("rank")
     own = int((rows["own"] == i).sum())
     spans = ((a, min(own, a + STRIPE), a if i == j else own, len(rows)) for a in range(0, own, STRIPE))
-    return _count(rows, k, threshold, window, spans, far=True)
+    return _count(rows, k, threshold, window, spans, True, n_passes, signs)
 
 
 def _valid(vector):
@@ -284,25 +332,22 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, window: i
     if (sizes.agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0) > left**2:  # all pairs are fewer
         hashed, signs_of_run = hashed.where("pass = 0"), 0
     ranked = _ranked(hashed.select("*", _run(signs_of_run)))
-    ranks = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "rank", "run"))).alias("r"))  # n_passes entries
-    placed = some.join(ranks, "node").select("node", "copies", "vector", F.size("vector").alias("dim"), F.col("r.rank").alias("ranks"), F.col("r.run").alias("runs"))
-    # A pass needs the ranks and runs in the passes before it only.
-    before = {c: F.slice(c, F.lit(1), F.col("pass")) for c in ("ranks", "runs")}
-    spread = placed.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("run", F.get("runs", F.col("pass"))).withColumns(before)
+    spread = ranked.join(some.select("node", "copies", "vector"), "node")
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return _compare(part, key[1], key[2], threshold, window)
+        return _compare(part, key[1], key[2], threshold, window, n_passes, signs_of_run)
 
     def compare_far(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return _compare_far(part, key[1], key[3], key[4], threshold, window)
+        return _compare_far(part, key[1], key[3], key[4], threshold, window, n_passes, signs_of_run)
 
     found = _in_blocks(spread, window).groupBy("dim", "pass", "block").applyInPandas(compare, OUT_SCHEMA)
-    runs = durable(_long_runs(ranked, window))
-    if not runs.isEmpty():
-        far = _in_pairs(spread.join(F.broadcast(runs), ["dim", "pass", "run"]))
+    longer = durable(_long_runs(ranked, window))
+    if not longer.isEmpty():
+        far = _in_pairs(spread.join(F.broadcast(longer), ["dim", "pass", "run"]))
         found = found.union(far.groupBy("dim", "pass", "run", "i", "j").applyInPandas(compare_far, OUT_SCHEMA))
     found = durable(found)
-    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    once = found.where("stray").select("node", "links", "other").distinct()  # several passes may hold them
+    sums = found.where("not stray").select("node", "links").union(once.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = distinct.select("node", "digest", "low", "copies").join(sums, "node", "left").join(parts, "node", "left")
     nodes = nodes.select("digest", "copies", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))

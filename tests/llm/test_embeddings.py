@@ -84,6 +84,30 @@ def test_vectors_that_share_a_direction(spark, mean_cosine):
     assert close.sum() >= 200 and 2 * close.sum() >= got["n_links"].sum() >= 0.98 * 2 * close.sum()
 
 
+def test_runs_are_the_leading_signs():
+    x = embed_dedup.unit(np.random.default_rng(8).normal(size=(500, 24)))
+    whole = embed_dedup.hashes(x, 5)
+    assert (embed_dedup.runs(x[::3], 5, 9) == (whole >> (embed_dedup.SIGNS - 9))[::3]).all()
+
+
+def test_very_large_and_very_small_vectors(spark):
+    """Squares of these components overflow, or vanish."""
+    rows = [[1e200, 1e200], [1e200, 1.001e200], [1e-200, 1e-200], [5e-324, 5e-324], [1e-200, -1e-200], [1.0, 1.0], [1e308, 1e-308], [1.0, 0.0]]
+    got = embed_dedup.embedding_groups(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (0, 4), 5: (4, 0), 6: (1, 6), 7: (1, 6)}
+
+
+def test_copies_of_a_hot_group_count(spark):
+    """Repeats of the vectors of a group larger than the window, met in windows, in runs and by chance."""
+    rng = np.random.default_rng(9)
+    base = np.concatenate([rng.normal(size=12) + rng.normal(size=(300, 12)) * 0.12, rng.normal(size=(500, 12))])
+    vectors = np.concatenate([base, base[:200], base[350:400]])
+    links, lab = brute(vectors.tolist(), 0.9)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.embedding_groups(frame, window=24).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() <= links).all() and got["n_links"].sum() >= 0.995 * links.sum()
+
+
 def test_compare_halo():
     """A block's last rows meet the next block's first ones."""
     import pandas as pd
