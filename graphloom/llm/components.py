@@ -18,19 +18,18 @@ def _stars(arcs: DataFrame) -> DataFrame:
     return arcs.join(low, "u")
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for each node of ``links`` (two long columns): the smallest node that it reaches.
 
     Self-links and null ends are left out; repeated links don't matter; no links give no rows. Each
-    round is written to the checkpoint folder. Rounds end when a round changes nothing.
+    round is written to the checkpoint folder. Rounds end when a round changes nothing; as a round can only
+    lower what a node is linked to, that comes.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = durable(edges)
     state = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     seen = edges.agg(state.alias("s")).first()["s"]
-    for _ in range(max_rounds):
-        if not seen["n"]:
-            break
+    while seen["n"]:
         both = edges.union(edges.select("v", "u"))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _stars(large.distinct()).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
@@ -39,7 +38,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

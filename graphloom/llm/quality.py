@@ -1,13 +1,13 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
 The content view sees what is written: words and marks, their shapes in short runs, and repeats. The
-metadata view sees only what is known about the page without reading it: source, language, length, and
-its layout as numbers of lines and of words a line. Both are FTRL-proximal logistic regressions.
+metadata view sees only what the table says of the page beside its text: source, language and length, alone
+and two by two. Both are FTRL-proximal logistic regressions.
 
 In each round either classifier is fit on the labelled rows and on what the other one was sure of in the
 round before (a calibrated score of SURE or more, or of 1 - SURE or less) among a pool of unlabelled rows.
-At the end each view's score is calibrated (Platt) on labelled rows kept back for that, and a logistic
-regression over the two calibrated log-odds combines them.
+Scores are calibrated (Platt) on labelled rows kept back for that, and at the end a logistic regression
+over the two calibrated log-odds, fit on other rows kept back, combines them.
 
 Models are fit in one task on MAX_TRAIN labelled and MAX_POOL unlabelled rows at most, those with the
 smallest hash of the id. All rows are scored, in one pass without a shuffle.
@@ -31,9 +31,9 @@ from graphloom.llm.linear import REMEMBERED, Ftrl, WordHashes, sigmoid
 from graphloom.llm.toxicity import sample
 
 MAX_TRAIN, MAX_POOL, ROUNDS, EPOCHS, SURE = 6000, 4000, 3, 2, 0.95
-CONTENT_BITS, META_BITS = 18, 12
+CONTENT_BITS, META_BITS, L1 = 18, 12, 1.0
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+|\n+")
-META = ["source", "lang", "n_chars", "n_lines", "n_words"]
+META = ["source", "lang", "n_chars"]
 
 
 class Shapes(WordHashes):
@@ -69,17 +69,16 @@ def content(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
 
 def metadata(row: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values of the metadata view, from META's values in order; nulls are values of their own."""
-    source, lang, chars, lines, words = row
-    step = lambda x, base: "?" if x is None or x != x else int(math.log(max(0, x) + 1, base))
-    ratio = lambda a, b: None if a is None or b is None or a != a or b != b else a / max(1, b)
-    said = [f"s{source}", f"l{lang}", f"c{step(chars, 1.5)}", f"n{step(lines, 1.5)}", f"w{step(words, 1.5)}", f"p{step(ratio(words, lines), 1.3)}", f"q{step(ratio(chars, words), 1.05)}"]
-    said.append(said[1] + said[6])
+    source, lang, chars = row
+    size = "?" if chars is None or chars != chars else int(math.log(max(0, chars) + 1, 1.5))
+    own = [f"s{source}", f"l{lang}", f"c{size}"]
+    said = [*own, *(a + b for i, a in enumerate(own) for b in own[i + 1 :])]
     at = np.unique([xxhash.xxh64_intdigest(x.encode()) & (1 << META_BITS) - 1 for x in said])
     return np.append(at, 1 << META_BITS), np.ones(len(at) + 1)
 
 
-def _fit(rows: list, labels: np.ndarray, bits: int, l1: float) -> Ftrl:
-    model, order = Ftrl((1 << bits) + 1, l1=l1), np.random.default_rng(11)
+def _fit(rows: list, labels: np.ndarray, bits: int) -> Ftrl:
+    model, order = Ftrl((1 << bits) + 1, l1=L1), np.random.default_rng(11)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
             model.learn(*rows[i], labels[i])
@@ -105,26 +104,26 @@ def platt(odds: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
 def co_train(texts: list, metas: list, labels: list[int | None], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """The model: dense weights of both views, their calibrations and the combination. labels: None for the pool."""
     shapes = Shapes()
-    views = [([content(t, shapes) for t in texts], CONTENT_BITS, 1.0), ([metadata(m) for m in metas], META_BITS, 1.0)]
+    views = [([content(t, shapes) for t in texts], CONTENT_BITS), ([metadata(m) for m in metas], META_BITS)]
     known = [i for i, y in enumerate(labels) if y is not None]
     pool = [i for i, y in enumerate(labels) if y is None]
-    kept = [i for k, i in enumerate(known) if k % 4 == 3] or known
-    own = [i for k, i in enumerate(known) if k % 4 != 3]
-    y_kept = np.array([labels[i] for i in kept], float)
+    own = [i for k, i in enumerate(known) if k % 8 not in (3, 7)]
+    kept, last = (([i for k, i in enumerate(known) if k % 8 == r] or known) for r in (3, 7))  # to calibrate, to combine
+    y_kept, y_last = (np.array([labels[i] for i in rows], float) for rows in (kept, last))
     taught: list[dict[int, int]] = [{}, {}]
     models, scales = [None, None], [None, None]
     for k in range(rounds + 1):
         told: list[dict[int, int]] = [{}, {}]
-        for v, (rows, bits, l1) in enumerate(views):
+        for v, (rows, bits) in enumerate(views):
             use = own + list(taught[v])
-            models[v] = _fit([rows[i] for i in use], np.array([labels[i] if labels[i] is not None else taught[v][i] for i in use]), bits, l1)
+            models[v] = _fit([rows[i] for i in use], np.array([labels[i] if labels[i] is not None else taught[v][i] for i in use]), bits)
             scales[v] = platt(_odds(models[v], [rows[i] for i in kept])[:, None], y_kept)
             if pool and k < rounds:
                 p = sigmoid(_odds(models[v], [rows[i] for i in pool]) * scales[v][0] + scales[v][1])
                 told[1 - v] = {i: int(q >= SURE) for i, q in zip(pool, p) if q >= SURE or q <= 1 - SURE}
         taught = told
-    both = np.column_stack([_odds(models[v], [views[v][0][i] for i in kept]) * scales[v][0] + scales[v][1] for v in (0, 1)])
-    return {"content": models[0].weights(), "metadata": models[1].weights(), "scales": np.array(scales), "both": platt(both, y_kept)}
+    both = np.column_stack([_odds(models[v], [views[v][0][i] for i in last]) * scales[v][0] + scales[v][1] for v in (0, 1)])
+    return {"content": models[0].weights(), "metadata": models[1].weights(), "scales": np.array(scales), "both": platt(both, y_last)}
 
 
 def _train_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,10 +140,8 @@ def _train_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _with_meta(docs: DataFrame) -> DataFrame:
     """The columns of the metadata view; those that ``docs`` lacks are null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    there = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
-    lines, words = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1
-    return docs.select("doc_id", text.alias("text"), there("source", "string").alias("source"), there("lang", "string").alias("lang"), F.coalesce(there("n_chars", "double"), F.length(text).cast("double")).alias("n_chars"), lines.cast("double").alias("n_lines"), words.cast("double").alias("n_words"))
+    there = lambda c, kind: (F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)).alias(c)
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), there("source", "string"), there("lang", "string"), there("n_chars", "double"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> dict[str, np.ndarray] | None:

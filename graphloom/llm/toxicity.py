@@ -25,7 +25,7 @@ from graphloom.llm.common import held_out, table
 from graphloom.llm.linear import Ftrl, WordHashes, grams, sigmoid
 
 #: Labelled rows that the model is fit on, at most; passes over them; coordinates (and one more for the intercept).
-MAX_TRAIN, EPOCHS, BITS = 8000, 3, 20
+MAX_TRAIN, EPOCHS, BITS, L1 = 8000, 3, 20, 10.0
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 STEMS = (4, 6)
 _GRAMS = {"n": 2, "skip": 1}
@@ -40,7 +40,7 @@ def coordinates(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) other than 0; coordinate 2^BITS is the intercept."""
-    hashes, model = WordHashes(), Ftrl((1 << BITS) + 1)
+    hashes, model = WordHashes(), Ftrl((1 << BITS) + 1, l1=L1)
     seen = [(np.append(np.unique(coordinates(text, hashes)), 1 << BITS), label) for text, label in rows]
     order = np.random.default_rng(7)
     for _ in range(epochs):

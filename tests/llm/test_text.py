@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -12,12 +13,14 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format as chat
 from graphloom.llm import quality, secret_scan, toxicity
+from graphloom.llm.common import mix64
 from graphloom.llm.linear import Ftrl, WordHashes, grams, sigmoid
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, score string"
@@ -117,7 +120,7 @@ def test_a_view_teaches_the_other():
     for i in range(1200):
         good = i % 2
         texts.append(prose(rng, 30) if good else prose(rng, 30).upper())
-        metas.append(("good" if good else "bad", "en", 150.0, 1.0, 30.0))
+        metas.append(("good" if good else "bad", "en", 150.0))
         labels.append(good if i < 80 else None)
         truth.append(good)
     model = quality.co_train(texts, metas, labels)
@@ -127,6 +130,117 @@ def test_a_view_teaches_the_other():
         assert np.mean((odds * model["scales"][int(v == "metadata")][0] + model["scales"][int(v == "metadata")][1] > 0) == np.array(truth)) > 0.95
 
 
+class PlainFtrl:
+    """The learner, a coordinate at a time."""
+
+    def __init__(self, l1, alpha=0.5, beta=1.0, l2=0.5):
+        self.z, self.n, self.l1, self.alpha, self.beta, self.l2 = {}, {}, l1, alpha, beta, l2
+
+    def weight(self, c):
+        z = self.z.get(c, 0.0)
+        if abs(z) <= self.l1:
+            return 0.0
+        return -(z - math.copysign(self.l1, z)) / ((self.beta + math.sqrt(self.n[c])) / self.alpha + self.l2)
+
+    def odds(self, row):
+        return sum(self.weight(c) * x for c, x in row.items())
+
+    def learn(self, row, label):
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, self.odds(row)))))
+        for c, x in row.items():
+            g, w, n = (p - label) * x, self.weight(c), self.n.get(c, 0.0)
+            self.z[c] = self.z.get(c, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w
+            self.n[c] = n + g * g
+
+
+def plain_scale(odds, labels):
+    """Weights of a logistic regression with a ridge of 0.01, by small steps downhill along Newton's direction; odds: a list of columns."""
+    columns = [*odds, [1.0] * len(labels)]
+    m, w = len(columns), [0.0] * len(columns)
+    for _ in range(50):
+        p = [1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[j] * columns[j][i] for j in range(m)))))) for i in range(len(labels))]
+        grad = [sum((q - y) * x for q, y, x in zip(p, labels, columns[j])) + 0.01 * w[j] for j in range(m)]
+        rows = [[sum(q * (1 - q) * a * b for q, a, b in zip(p, columns[j], columns[k])) + 0.01 * (j == k) for k in range(m)] + [grad[j]] for j in range(m)]
+        for j in range(m):  # Gauss
+            best = max(range(j, m), key=lambda r: abs(rows[r][j]))
+            rows[j], rows[best] = rows[best], rows[j]
+            for r in range(m):
+                if r != j:
+                    f = rows[r][j] / rows[j][j]
+                    rows[r] = [a - f * b for a, b in zip(rows[r], rows[j])]
+        w = [w[j] - rows[j][m] / rows[j][j] for j in range(m)]
+    return w
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    """The query's scores against a learner written out row by row, over features found from the words themselves."""
+    docs, labels = corpus(5, 260)
+    rows = [(i, t) for i, t, *_ in docs]
+    mark = {i: y for i, _, y in labels}
+
+    def features(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        hashes = WordHashes()
+        named = [np.uint64(hashes[w]) for w in words]
+        found = set(int(h) for h in named)
+        with np.errstate(over="ignore"):
+            for a, b in zip(named, named[1:]):
+                found.add(int(mix64(a) + b * np.uint64(3)))
+            for a, b in zip(named, named[2:]):
+                found.add(int(mix64(a ^ np.uint64(2)) ^ b))
+            for k in toxicity.STEMS:
+                found |= {int(np.uint64(hashes[w[:k]]) * np.uint64(2 * k + 1)) for w in words}
+        return {h & (1 << toxicity.BITS) - 1: 1.0 for h in found} | {1 << toxicity.BITS: 1.0}
+
+    own = [i for i, _ in rows if i in mark and not held(i)]
+    place = {i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) for i in own}
+    own.sort(key=lambda i: place[i] - (1 << 64) * (place[i] >> 63))
+    seen, model, order = [(features(dict(rows)[i]), mark[i]) for i in own], PlainFtrl(toxicity.L1), np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(seen)):
+            model.learn(*seen[i])
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-model.odds(features(r["text"])))), abs=1e-9)
+
+
+def test_co_training_against_plain_python():
+    """Rounds of pseudo-labels, calibration and combination written out row by row."""
+    rng = random.Random(6)
+    texts, metas, labels = [], [], []
+    for i in range(500):
+        good = rng.random() < 0.5
+        texts.append(prose(rng, 20) if good != (rng.random() < 0.1) else prose(rng, 20).upper())
+        metas.append((rng.choice(["a", "b", None]) if good else "c", rng.choice(["en", "de"]), rng.choice([90.0, 150.0, None])))
+        labels.append(int(good) if i % 2 else None)
+    got = quality.co_train(texts, metas, labels)
+    shapes = quality.Shapes()
+    views = [[dict(zip(at.tolist(), (x * np.ones(len(at))).tolist())) for at, x in rows] for rows in ([quality.content(t, shapes) for t in texts], [quality.metadata(m) for m in metas])]
+    known = [i for i in range(500) if labels[i] is not None]
+    own, kept, last = ([i for k, i in enumerate(known) if k % 8 in which] for which in ((0, 1, 2, 4, 5, 6), (3,), (7,)))
+    taught, odds = [{}, {}], [None, None]
+    for k in range(quality.ROUNDS + 1):
+        told = [{}, {}]
+        for v, rows in enumerate(views):
+            use, order, model = own + list(taught[v]), np.random.default_rng(11), PlainFtrl(quality.L1)
+            for _ in range(quality.EPOCHS):
+                for i in order.permutation(len(use)):
+                    model.learn(rows[use[i]], taught[v].get(use[i], labels[use[i]]))
+            w = plain_scale([[model.odds(rows[i]) for i in kept]], [labels[i] for i in kept])
+            odds[v] = [model.odds(r) * w[0] + w[1] for r in rows]
+            if k < quality.ROUNDS:
+                p = {i: 1 / (1 + math.exp(-odds[v][i])) for i in range(500) if labels[i] is None}
+                told[1 - v] = {i: int(q >= quality.SURE) for i, q in p.items() if q >= quality.SURE or q <= 1 - quality.SURE}
+        taught = told
+        assert k == quality.ROUNDS or all(taught), "both views are to teach"
+    w = plain_scale([[o[i] for i in last] for o in odds], [labels[i] for i in last])
+    want = [w[0] * a + w[1] * b + w[2] for a, b in zip(*odds)]
+    for i in range(500):
+        own_odds = [got[name][at] @ (x * np.ones(len(at))) * got["scales"][v][0] + got["scales"][v][1] for v, (name, (at, x)) in enumerate((("content", quality.content(texts[i], shapes)), ("metadata", quality.metadata(metas[i]))))]
+        assert own_odds == pytest.approx([odds[0][i], odds[1][i]], abs=1e-6)
+        assert got["both"][:2] @ own_odds + got["both"][2] == pytest.approx(want[i], abs=1e-6)
+
+
 def test_platt_is_calibrated():
     rng = np.random.default_rng(1)
     odds = rng.normal(size=4000) * 2
