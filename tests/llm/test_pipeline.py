@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm.common import min_labels
@@ -13,6 +14,8 @@ from graphloom.llm.packing import piece_lengths, token_ids
 from graphloom.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators and stages use for themselves.
+CLASHES = ["score", "predicted", "kept", "keep_id", "n", "copy", "copies", "shards", "size", "component_id", "fingerprint", "text_key", "text_sha256", "digest", "label", "place", "__key", "__n", "__id", "__doc_id", "__digest", "__copy", "__shard", "__turn", "__part", "there", "plan", "rows", "Shard", "ids"]
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +79,51 @@ def test_stages(spark, tables):
     assert Counter((r["doc_id"], r["length"]) for r in packed.collect()) == want
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_columns_with_clashing_names(spark, tables, k):
+    """Columns called as the stage's own, null or not, go along; a map and an array too."""
+    folder, rows = tables
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *(f"IF(doc_id % 3 = 0, NULL, concat('{c}', doc_id)) AS `{c}`" for c in CLASHES), "map('a', doc_id) AS m", "array(doc_id) AS a").drop("lang")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id < 5").withColumn("n", F.lit("other")))
+    plain = spark.createDataFrame(rows, DOCS)
+    plain = plain.unionByName(plain.where("doc_id < 9")).unionByName(plain.where("doc_id < 5"))
+    _, stage = corpus_pipeline.STAGES[k]
+    got, want = stage(spark, docs, folder), stage(spark, plain, folder)
+    pick = lambda df: Counter((r["doc_id"], r["text"] if k < 4 else r["start"]) for r in df.collect())
+    assert pick(got) == pick(want)
+    if k == 4:
+        return
+    assert got.columns == docs.columns
+    whole = {str(r) for r in docs.collect()}
+    assert all(str(r) in whole for r in got.collect())
+    again = stage(spark, docs.repartition(7), folder)
+    assert Counter(map(str, again.collect())) == Counter(map(str, got.collect()))
+
+
+def test_run_goes_on_after_a_failure(spark, tables, tmp_path, monkeypatch):
+    folder, _ = tables
+    asked = []
+
+    def counted(name, stage, fails):
+        def own(spark, docs, sf_dir):
+            asked.append(name)
+            if fails and asked.count(name) == 1:
+                raise ValueError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return name, own
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(n, s, n == "mixing") for n, s in stages])
+    with pytest.raises(ValueError) as failed:
+        corpus_pipeline.run(spark, folder, f"{tmp_path}/p")
+    assert "goes on" in failed.value.__notes__[0]
+    out = corpus_pipeline.run(spark, folder, f"{tmp_path}/p")
+    assert asked == [n for n, _ in stages[:3]] + ["mixing", "mixing", "packing"]
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["4"]
+    assert len(list(tmp_path.glob("p/4/bucket=*"))) > 3 and out.where("length <> 1 << bucket OR length * 4 <> octet_length(ids)").isEmpty()
+
+
 def test_run_gives_what_the_stages_give(spark, tables):
     folder, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
