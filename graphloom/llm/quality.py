@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,26 @@ from graphloom.llm.common import held_out, table
 from graphloom.llm.linear import REMEMBERED, Ftrl, WordHashes, sigmoid
 from graphloom.llm.toxicity import sample
 
-MAX_TRAIN, MAX_POOL, ROUNDS, EPOCHS, SURE = 6000, 4000, 3, 2, 0.95
-CONTENT_BITS, META_BITS, L1 = 18, 12, 1.0
+MAX_TRAIN, MAX_POOL, ROUNDS, SURE = 6000, 4000, 3, 0.95
+CONTENT_BITS, META_BITS = 18, 12
+#: Features of the content view, in order: shapes, pairs of shapes, repeats, words and marks.
+PARTS = ("shapes", "pairs", "repeats", "words")
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+|\n+")
 META = ["source", "lang", "n_chars"]
 
 
+@dataclass(frozen=True)
+class Setting:
+    """The content view's features, passes over the rows, and the learners' sparsity; chosen by tune.py, without the held-out fold."""
+
+    parts: tuple[str, ...] = PARTS
+    epochs: int = 2
+    l1: float = 0.3
+
+
+SETTING = Setting()
+
+
 class Shapes(WordHashes):
     """token -> 48 bits for the token, 16 for its shape: a mark itself, or a word's case and length."""
 
@@ -54,7 +69,7 @@ class Shapes(WordHashes):
         return h
 
 
-def content(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
+def content(text: str | None, shapes: Shapes, parts: tuple[str, ...] = SETTING.parts) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values of the content view; a run of shapes weighs by its share of the text."""
     h = shapes.of(TOKEN.findall((text or "").encode()))
     if not len(h):
@@ -62,7 +77,8 @@ def content(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     shape = h >> np.uint64(48)
     pair = shape[:-1] * np.uint64(0x9E3779B1) + shape[1:] * np.uint64(0x85EBCA6B) + np.uint64(1)
     same = (h[1:] == h[:-1]).astype(np.uint64) + np.uint64(7)
-    all_ = np.concatenate([shape, pair >> np.uint64(7), same, h * np.uint64(0xC2B2AE3D) >> np.uint64(20)]) & np.uint64((1 << CONTENT_BITS) - 1)
+    found = dict(zip(PARTS, (shape, pair >> np.uint64(7), same, h * np.uint64(0xC2B2AE3D) >> np.uint64(20))))
+    all_ = np.concatenate([found[p] for p in parts]) & np.uint64((1 << CONTENT_BITS) - 1)
     at, n = np.unique(all_.astype(np.int64), return_counts=True)
     return np.append(at, 1 << CONTENT_BITS), np.append(np.sqrt(n / len(h)), 1.0)
 
@@ -77,9 +93,9 @@ def metadata(row: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, 1 << META_BITS), np.ones(len(at) + 1)
 
 
-def _fit(rows: list, labels: np.ndarray, bits: int) -> Ftrl:
-    model, order = Ftrl((1 << bits) + 1, l1=L1), np.random.default_rng(11)
-    for _ in range(EPOCHS):
+def _fit(rows: list, labels: np.ndarray, bits: int, setting: Setting) -> Ftrl:
+    model, order = Ftrl((1 << bits) + 1, l1=setting.l1), np.random.default_rng(11)
+    for _ in range(setting.epochs):
         for i in order.permutation(len(rows)):
             model.learn(*rows[i], labels[i])
     return model
@@ -101,10 +117,10 @@ def platt(odds: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
-def co_train(texts: list, metas: list, labels: list[int | None], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def co_train(texts: list, metas: list, labels: list[int | None], rounds: int = ROUNDS, setting: Setting = SETTING) -> dict[str, np.ndarray]:
     """The model: dense weights of both views, their calibrations and the combination. labels: None for the pool."""
     shapes = Shapes()
-    views = [([content(t, shapes) for t in texts], CONTENT_BITS), ([metadata(m) for m in metas], META_BITS)]
+    views = [([content(t, shapes, setting.parts) for t in texts], CONTENT_BITS), ([metadata(m) for m in metas], META_BITS)]
     known = [i for i, y in enumerate(labels) if y is not None]
     pool = [i for i, y in enumerate(labels) if y is None]
     own = [i for k, i in enumerate(known) if k % 8 not in (3, 7)]
@@ -116,7 +132,7 @@ def co_train(texts: list, metas: list, labels: list[int | None], rounds: int = R
         told: list[dict[int, int]] = [{}, {}]
         for v, (rows, bits) in enumerate(views):
             use = own + list(taught[v])
-            models[v] = _fit([rows[i] for i in use], np.array([labels[i] if labels[i] is not None else taught[v][i] for i in use]), bits)
+            models[v] = _fit([rows[i] for i in use], np.array([labels[i] if labels[i] is not None else taught[v][i] for i in use]), bits, setting)
             scales[v] = platt(_odds(models[v], [rows[i] for i in kept])[:, None], y_kept)
             if pool and k < rounds:
                 p = sigmoid(_odds(models[v], [rows[i] for i in pool]) * scales[v][0] + scales[v][1])

@@ -1,19 +1,20 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A row's features are which word 1-grams, 2-grams and skip-grams (two words with one between) occur in its
-text, the 1-grams also as stems (the first 4 and 6 bytes, for languages that inflect), hashed to 2^20 coordinates; how often and how long the text is don't count, so that a few toxic
-words weigh the same in any text. FTRL-proximal learns with a rate for each coordinate, and its L1 term
+A row's features are which word n-grams and skip-grams (two words with others between) occur in its text,
+the 1-grams also cut to their first bytes (for languages that inflect), hashed to 2^20 coordinates; how
+often and how long the text is don't count, so that a few toxic words weigh the same in any text. FTRL-proximal learns with a rate for each coordinate, and its L1 term
 leaves a few thousand weights other than 0, at most 2^20 whatever the corpus: these are broadcast, and
 scoring is one pass over the texts without a shuffle.
 
 The model is fit on MAX_TRAIN labelled rows at most (those with the smallest hash of the id), in one task;
-all rows are scored.
+all rows are scored. The setting was chosen by tune.py, without the held-out fold.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,26 +25,39 @@ from pyspark.sql import types as T
 from graphloom.llm.common import held_out, table
 from graphloom.llm.linear import Ftrl, WordHashes, grams, sigmoid
 
-#: Labelled rows that the model is fit on, at most; passes over them; coordinates (and one more for the intercept).
-MAX_TRAIN, EPOCHS, BITS, L1 = 8000, 3, 20, 10.0
+#: Labelled rows that the model is fit on, at most; coordinates (and one more for the intercept).
+MAX_TRAIN, BITS = 8000, 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-STEMS = (4, 6)
-_GRAMS = {"n": 2, "skip": 1}
 
 
-def coordinates(text: str | None, hashes: WordHashes) -> np.ndarray:
+@dataclass(frozen=True)
+class Setting:
+    """n-grams up to n words; words between the two of a skip-gram, at most; bytes that words are cut to; passes; the learner's rate and sparsity."""
+
+    n: int = 2
+    skip: int = 1
+    stems: tuple[int, ...] = (4, 6)
+    epochs: int = 3
+    alpha: float = 0.5
+    l1: float = 3.0
+
+
+SETTING = Setting()
+
+
+def coordinates(text: str | None, hashes: WordHashes, setting: Setting = SETTING) -> np.ndarray:
     """The coordinates of all n-grams and skip-grams of the whole text, repeats included."""
     words = WORD.findall((text or "").encode().lower())
-    stems = [hashes.of([w[:k] for w in words]) * np.uint64(2 * k + 1) for k in STEMS]
-    return (np.concatenate([*grams(hashes.of(words), **_GRAMS), *stems]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    stems = [hashes.of([w[:k] for w in words]) * np.uint64(2 * k + 1) for k in setting.stems]
+    return (np.concatenate([*grams(hashes.of(words), setting.n, setting.skip), *stems]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[str, int]], setting: Setting = SETTING) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) other than 0; coordinate 2^BITS is the intercept."""
-    hashes, model = WordHashes(), Ftrl((1 << BITS) + 1, l1=L1)
-    seen = [(np.append(np.unique(coordinates(text, hashes)), 1 << BITS), label) for text, label in rows]
+    hashes, model = WordHashes(), Ftrl((1 << BITS) + 1, alpha=setting.alpha, l1=setting.l1)
+    seen = [(np.append(np.unique(coordinates(text, hashes, setting)), 1 << BITS), label) for text, label in rows]
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(setting.epochs):
         for i in order.permutation(len(seen)):
             model.learn(seen[i][0], 1.0, seen[i][1])
     w = model.weights()

@@ -188,15 +188,15 @@ def test_toxicity_scores_against_plain_python(spark):
                 found.add(int(mix64(a) + b * np.uint64(3)))
             for a, b in zip(named, named[2:]):
                 found.add(int(mix64(a ^ np.uint64(2)) ^ b))
-            for k in toxicity.STEMS:
+            for k in toxicity.SETTING.stems:
                 found |= {int(np.uint64(hashes[w[:k]]) * np.uint64(2 * k + 1)) for w in words}
         return {h & (1 << toxicity.BITS) - 1: 1.0 for h in found} | {1 << toxicity.BITS: 1.0}
 
     own = [i for i, _ in rows if i in mark and not held(i)]
     place = {i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) for i in own}
     own.sort(key=lambda i: place[i] - (1 << 64) * (place[i] >> 63))
-    seen, model, order = [(features(dict(rows)[i]), mark[i]) for i in own], PlainFtrl(toxicity.L1), np.random.default_rng(7)
-    for _ in range(toxicity.EPOCHS):
+    seen, model, order = [(features(dict(rows)[i]), mark[i]) for i in own], PlainFtrl(toxicity.SETTING.l1, toxicity.SETTING.alpha), np.random.default_rng(7)
+    for _ in range(toxicity.SETTING.epochs):
         for i in order.permutation(len(seen)):
             model.learn(*seen[i])
     got = toxicity.score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
@@ -210,7 +210,7 @@ def test_co_training_against_plain_python():
     texts, metas, labels = [], [], []
     for i in range(500):
         good = rng.random() < 0.5
-        texts.append(prose(rng, 20) if good != (rng.random() < 0.1) else prose(rng, 20).upper())
+        texts.append(prose(rng, 20) if good != (rng.random() < 0.03) else prose(rng, 20).upper())
         metas.append((rng.choice(["a", "b", None]) if good else "c", rng.choice(["en", "de"]), rng.choice([90.0, 150.0, None])))
         labels.append(int(good) if i % 2 else None)
     got = quality.co_train(texts, metas, labels)
@@ -222,8 +222,8 @@ def test_co_training_against_plain_python():
     for k in range(quality.ROUNDS + 1):
         told = [{}, {}]
         for v, rows in enumerate(views):
-            use, order, model = own + list(taught[v]), np.random.default_rng(11), PlainFtrl(quality.L1)
-            for _ in range(quality.EPOCHS):
+            use, order, model = own + list(taught[v]), np.random.default_rng(11), PlainFtrl(quality.SETTING.l1)
+            for _ in range(quality.SETTING.epochs):
                 for i in order.permutation(len(use)):
                     model.learn(rows[use[i]], taught[v].get(use[i], labels[use[i]]))
             w = plain_scale([[model.odds(rows[i]) for i in kept]], [labels[i] for i in kept])
