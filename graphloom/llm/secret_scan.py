@@ -73,11 +73,34 @@ def _spans(text: Column, rule: tuple) -> Column:
     return F.when(some, spans).otherwise(none)
 
 
+#: Marks of wanted rows: one bit of 2^MARK_BITS at most, so 16 MB are sent to all executors at most, however many rows are wanted.
+MARK_BITS = 27
+
+
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("path", "blob"), F.lit(1 << bits))
+
+
+def _wanted(texts: DataFrame, todo: DataFrame) -> DataFrame:
+    """``texts`` (path, blob, ...) without most rows that aren't in ``todo`` (path, blob), before anything is moved.
+
+    todo's rows set bits of a bitmap (4 KB a row of it), which is broadcast. A bit may be another row's: an exact join must follow.
+    """
+    n = todo.count()
+    bits = min(MARK_BITS, max(15, (16 * n).bit_length()))
+    place = _place(bits)
+    marks = todo.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    rows = texts.withColumn("__bucket", F.bitmap_bucket_number(place)).withColumn("__at", F.bitmap_bit_position(place)).join(F.broadcast(marks), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("int(__at div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, F.expr("int(__at % 8)")).bitwiseAND(F.lit(1)) == 1
+    return rows.where(set_).drop("__bucket", "__at", "__bits")
+
+
 def scan(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: list[tuple] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New ledger rows: the findings of each (blob, rule, version) of ``docs`` that the ledger lacks. paths: see blobs().
 
-    A blob is read from one path, the smallest. Its text crosses the network once, to meet the blob's
-    row; rules whose pair is known are not run.
+    A blob is read from one path, the smallest. Only the texts of those rows cross the network (and a few
+    that a bitmap can't tell from them), to meet the blob's row; rules whose pair is known are not run.
     """
     want = paths.groupBy("blob").agg(F.min("path").alias("path"))
     every = F.array(*(F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("version")) for r in rules))
@@ -87,9 +110,10 @@ def scan(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rul
         known = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("known"))  # few: a row a rule and version
         todo = want.join(known, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("known", F.array_except(every, every))))
         todo = todo.where(F.size("todo") > 0).drop("known")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("path"), text.alias("text"))
-    one = texts.join(todo.hint("shuffle_hash"), texts["path"].eqNullSafe(todo["path"])).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
+    todo = durable(todo)
+    texts = docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = _wanted(texts.withColumn("blob", F.unhex(F.sha2("text", 256))), todo)
+    one = texts.join(todo.withColumnRenamed("path", "__path").hint("shuffle_hash"), "blob").where(F.col("path").eqNullSafe(F.col("__path")))
     results = []
     for rule in rules:
         pair = F.struct(F.lit(rule[0]).alias("rule"), F.lit(rule[1]).alias("version"))

@@ -394,6 +394,16 @@ def test_many_matches(spark):
     assert time.time() - began < 60
 
 
+def test_texts_that_are_not_wanted_stay(spark):
+    """Before the join: every wanted row, and few others."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("path"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("blob"), F.lit("t").alias("text"))
+    todo = rows.where("path % 100 = 7 OR (path IS NULL AND hex(blob) LIKE '0%')").select("path", "blob")
+    got = secret_scan._wanted(rows, todo)
+    assert got.join(todo, (got["blob"] == todo["blob"]), "left_semi").count() == todo.count() > 250
+    assert got.count() < todo.count() + 0.1 * 20_000 and got.columns == rows.columns
+    assert secret_scan._wanted(rows, todo.limit(0)).count() == 0
+
+
 def test_only_unseen_pairs_are_scanned(spark):
     first = spark.createDataFrame([(1, "token=abcdefg"), (2, "plain")], "doc_id long, text string")
     second = spark.createDataFrame([(3, "token=abcdefg"), (4, "token=fresh123")], "doc_id long, text string")
