@@ -117,9 +117,31 @@ BACKENDS: dict[str, Callable[[dict], ChatClient]] = {
 }
 
 
+#: The roles, and where a role without a name of its own looks next.
+ROLES = {"backend": None, "agent": "backend"}
+
+
+def backend_of(role: str, env: dict) -> str:
+    """The name in ``GRAPHLOOM_<ROLE>``, or that of the role it falls back to, or local. Empty counts as unset."""
+    while role is not None:
+        if named := env.get(f"GRAPHLOOM_{role.upper()}"):
+            return named
+        role = ROLES.get(role)
+    return "local"
+
+
 def client_for(role: str, env: dict) -> ChatClient:
-    """The client that ``GRAPHLOOM_<ROLE>`` names (default: local)."""
-    name = env.get(f"GRAPHLOOM_{role.upper()}", "local")
+    name = backend_of(role, env)
     if name not in BACKENDS:
         raise ValueError(f"no chat backend {name!r} for {role}; known: {sorted(BACKENDS)}")
     return BACKENDS[name](env)
+
+
+def validate_env(env: dict) -> dict:
+    """What the environment gives, for a check at the start: each role's backend, and where the backend's client talks to.
+
+    A role that names an unknown backend is an error; a server that doesn't answer is not, it is reported.
+    """
+    clients = {role: client_for(role, env) for role in ROLES}
+    main = clients["backend"]
+    return {role: backend_of(role, env) for role in ROLES} | {"base_url": main.base_url, "model": main.model, "context_tokens": main.context_tokens, "reachable": main.ping()}
