@@ -21,7 +21,7 @@ from graphloom.operators.similarity import top_k
 from graphloom.plans.passrun import maintain
 from graphloom.schema import provenance
 from graphloom.session import durable
-from graphloom.sources.logs import append_traversals
+from graphloom.sources.logs import append_traversals, unread
 from graphloom.sources.store import Graph, Store, recent_events
 from graphloom.sources.texts import read_text, section
 
@@ -96,9 +96,8 @@ class Agent:
         return {"answer": self.answer(question, "\n".join(lines)), "citations": cited}
 
     def _trigger_sleep_pass(self, args: dict) -> dict:
-        from graphloom.sources.logs import read_traversals
-
-        return maintain(self.store, read_traversals(self.store.spark, self.log_path), self.providers)
+        records, files = unread(self.store.spark, self.log_path, self.store.taken())
+        return maintain(self.store, records, self.providers, took=durable(files))
 
     def _get_graph_stats(self, args: dict) -> dict:
         graph = self.store.load()

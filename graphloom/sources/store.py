@@ -16,6 +16,10 @@ from graphloom.operators.graph import stats as graph_stats
 from graphloom.schema import EDGE, NODE, PASS_EVENT, empty, shaped
 
 
+#: What was taken in: a file of the log, or the batches of a stream up to a number.
+TAKEN = "name string, upto long"
+
+
 def read_or_none(spark: SparkSession, path: str, kind: str = "parquet", schema=None) -> DataFrame | None:
     """The table at a path, None if nothing is there."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -98,8 +102,22 @@ class Store:
             return self.spark.createDataFrame([], "id string, vector array<double>")
         return self.spark.read.parquet(f"{self.path}/snapshots/{now[1]}/vectors")
 
-    def save(self, graph: Graph) -> int:
+    def taken(self) -> DataFrame:
+        """What the latest snapshot has taken in, as TAKEN: it counts from the moment the snapshot does."""
+        now = self.version()
+        found = None if now is None else read_or_none(self.spark, f"{self.path}/snapshots/{now[1]}/taken", schema=TAKEN)
+        return self.spark.createDataFrame([], TAKEN) if found is None else found
+
+    def took(self, name: str) -> int:
+        """Up to which number the latest snapshot has taken in what is called so; -1 if nothing of it."""
+        found = self.taken().where(F.col("name") == name).agg(F.max("upto")).first()[0]
+        return -1 if found is None else found
+
+    def save(self, graph: Graph, took: DataFrame | None = None) -> int:
+        """Write a version. took: what it has taken in beside what the one before had (TAKEN)."""
         version, snapshot = (self.version() or (0, ""))[0] + 1, uuid.uuid4().hex
+        taken = self.taken() if took is None else self.taken().union(took)
+        taken.groupBy("name").agg(F.max("upto").alias("upto")).write.parquet(f"{self.path}/snapshots/{snapshot}/taken")
         graph.nodes.write.parquet(f"{self.path}/snapshots/{snapshot}/nodes")
         graph.edges.write.parquet(f"{self.path}/snapshots/{snapshot}/edges")
         texts = self.spark.read.schema(NODE).parquet(f"{self.path}/snapshots/{snapshot}/nodes")

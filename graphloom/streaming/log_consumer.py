@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,42 +13,56 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from graphloom.functions.text import HISTORY_BUDGET, count_tokens
 from graphloom.operators.ingest import upsert_nodes
 from graphloom.operators.reinforce import reinforce
-from graphloom.schema import TRAVERSAL
-from graphloom.sources.store import Graph, Store
+from graphloom.sources.logs import parsed
+from graphloom.sources.store import TAKEN, Graph, Store
 
 
 def traversal_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New records of a folder of JSON lines; lines that aren't JSON are passed over."""
-    lines = spark.readStream.format("text").load(path).where(F.trim("value") != "")
-    ok = lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", TRAVERSAL).alias("r"))
-    return ok.where("r is not null").select("r.*")
+    """New records of a folder of JSON lines; lines that aren't JSON objects are passed over."""
+    return parsed(spark.readStream.format("text").load(path))
 
 
 def consume(records: DataFrame, checkpoint: str, use: Callable[[DataFrame, int], None]) -> None:
-    """Hand all records that weren't handed out before to ``use``, then stop. The checkpoint keeps what was read; the log is never deleted."""
+    """Hand all records that weren't handed out before to ``use``, then stop. The checkpoint keeps what was read; the log is never deleted.
+
+    A batch that failed before the checkpoint has it done comes again, with the same number: see consume_into().
+    """
     query = records.writeStream.foreachBatch(use).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def reinforce_from_log(spark: SparkSession, store: Store, log_path: str, checkpoint: str) -> None:
-    """Reinforce the stored graph with the records that came since the last call; each batch saves a version."""
+def consume_into(store: Store, records: DataFrame, checkpoint: str, use: Callable[[Graph, DataFrame], Graph]) -> None:
+    """As consume(), for a stored graph: each batch makes a version of it, once.
+
+    A version says which batch of which stream it took in last, in the snapshot itself; a batch that comes again after its
+    version was saved is passed over. A stream is known by the id that its checkpoint gives it.
+    """
+    spark, started, stream = store.spark, threading.Event(), []
 
-    def use(batch: DataFrame, _: int) -> None:
-        graph = store.load()
-        store.save(Graph(*reinforce(graph.nodes, graph.edges, batch)))
+    def once(batch: DataFrame, number: int) -> None:
+        started.wait()
+        if number > store.took(stream[0]):
+            store.save(use(store.load(), batch), spark.createDataFrame([(stream[0], number)], TAKEN))
 
-    consume(traversal_stream(spark, log_path), checkpoint, use)
+    query = records.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.append(f"stream {query.id}")
+    started.set()
+    query.awaitTermination()
+
+
+def reinforce_from_log(spark: SparkSession, store: Store, log_path: str, checkpoint: str) -> None:
+    """Reinforce the stored graph with the records that came since the last call; each batch saves a version."""
+    consume_into(store, traversal_stream(spark, log_path), checkpoint, lambda graph, batch: Graph(*reinforce(graph.nodes, graph.edges, batch)))
 
 
 def upsert_stream(stream: DataFrame, store: Store, checkpoint: str) -> None:
     """Upsert nodes from a stream (type, label, summary, order, provenance, created_at)."""
 
-    def use(batch: DataFrame, _: int) -> None:
-        graph = store.load()
+    def use(graph: Graph, batch: DataFrame) -> Graph:
         add, _known = upsert_nodes(graph.nodes, batch)
-        store.save(Graph(graph.nodes.unionByName(add), graph.edges))
+        return Graph(graph.nodes.unionByName(add), graph.edges)
 
-    consume(stream, checkpoint, use)
+    consume_into(store, stream, checkpoint, use)
 
 
 def history_stream(turns: DataFrame, budget: int = HISTORY_BUDGET) -> DataFrame:
