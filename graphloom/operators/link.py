@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +16,15 @@ from graphloom.session import durable, in_order
 
 #: Fixed values.
 MOST_NEW, NEW_WEIGHT, SEED_SHARE = 20, 0.5, 10
-#: Pairs that a round asks first.
-FIRST_BATCH = 200
+#: Pairs that a round asks first, and seeds that it looks around first.
+FIRST_BATCH, FIRST_SEEDS = 200, 16
 
 
 def top_share(nodes: DataFrame, share: int = SEED_SHARE) -> DataFrame:
     """(id, weight): the heaviest tenth of the active nodes, one at least, ties by their order."""
     live = active(nodes).select("id", "weight", "seq")
     n = live.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.lit(share))).cast("int").alias("n")).first()["n"]
-    return live.orderBy(F.col("weight").desc(), "seq", "id").limit(n).select("id", "weight")
+    return in_order(live, [F.col("weight").desc(), "seq", "id"], "__place").where(F.col("__place") <= n).select("id", "weight")
 
 
 def seeds(nodes: DataFrame, merged: DataFrame | None) -> DataFrame:
@@ -31,12 +33,15 @@ def seeds(nodes: DataFrame, merged: DataFrame | None) -> DataFrame:
     return own if merged is None else own.union(merged.select("id").join(nodes.select("id"), "id", "left_semi")).distinct()
 
 
-def pairs_to_ask(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None) -> DataFrame:
+def pairs_to_ask(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, earlier: DataFrame | None = None) -> DataFrame:
     """(seed_id, mid_id, remote_id, place): pairs at distance two that weren't tried before, in the order of seeds and remotes.
 
-    A pair that two seeds reach from either end is asked once, by the seed that came first.
+    A pair that two seeds reach from either end is asked once, by the seed that came first. earlier: (id), seeds
+    that came before all of ``seeds_`` and have asked their pairs.
     """
     rows = unlinked(two_hops(nodes, edges, seeds_), edges)
+    if earlier is not None:
+        rows = rows.join(earlier.select(F.col("id").alias("remote_id")), "remote_id", "left_anti")
     rows = rows.withColumn("low", F.least("seed_id", "remote_id")).withColumn("high", F.greatest("seed_id", "remote_id"))
     if tried is not None:
         rows = rows.join(tried.select("low", "high"), ["low", "high"], "left_anti")
@@ -85,26 +90,34 @@ def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFra
 
 
 def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, providers: Providers, pass_id: str, now: Column, most: int = MOST_NEW) -> dict:
-    """One round: edges with the new ones, the new ones, tried pairs, and counts.
+    """One round: edges with the new ones, the new ones, tried pairs (both are unions of what was written down), and counts.
 
-    Pairs are asked in order, FIRST_BATCH at a time and then ever more, until the round's quota is full.
-    Pairs after the one that fills it stay untried and may come again; links made in this round open new
-    pairs in the next.
+    Pairs are asked in order until the round's quota is full: those of FIRST_SEEDS seeds and then of ever
+    more are found, and FIRST_BATCH pairs and then ever more are asked, so that a quota that fills early
+    leaves most pairs unfound. Pairs after the one that fills it stay untried and may come again; links made
+    in this round open new pairs in the next.
     """
-    pairs = durable(pairs_to_ask(nodes, edges, seeds_, tried))
-    asked, upto, size = None, 0, FIRST_BATCH
-    while True:
-        batch = durable(pairs.where(F.col("place") > upto).orderBy("place").limit(size))
-        n, upto = batch.agg(F.count("*"), F.coalesce(F.max("place"), F.lit(0))).first()
-        some = answers(batch, nodes, providers)
-        asked = some if asked is None else asked.union(some)
-        if n < size or accepted(asked).count() >= most:
-            break
-        size *= 4
+    turns = in_order(nodes.join(seeds_.select("id").distinct(), "id", "left_semi").select("id", "seq"), ["seq", "id"], "turn").select("id", "turn")
+    n_seeds, looked, wide, size, places, found, parts = turns.count(), 0, FIRST_SEEDS, FIRST_BATCH, 0, 0, []
+    while looked < n_seeds and found < most:
+        own, earlier = turns.where(F.col("turn").between(looked + 1, looked + wide)), turns.where(F.col("turn") <= looked)
+        pairs = pairs_to_ask(nodes, edges, own, tried, earlier)
+        n, upto = pairs.count(), 0
+        while upto < n and found < most:
+            part = pairs.where(F.col("place").between(upto + 1, upto + size)).withColumn("place", F.col("place") + places)
+            parts.append(answers(part, nodes, providers))
+            found += accepted(parts[-1]).count()
+            upto, size = upto + size, size * 4
+        looked, wide, places = looked + wide, wide * 4, places + n
+    if not parts:  # no pairs
+        parts.append(answers(pairs_to_ask(nodes, edges, seeds_.limit(0), tried), nodes, providers))
+    asked = reduce(DataFrame.union, parts)
     good = durable(first_accepted(asked, most))
-    added = good.count()
-    until = good.agg(F.max("place")).first()[0] if added >= most else None
-    done = asked if until is None else asked.where(F.col("place") <= until)
+    added, until = good.agg(F.count("*"), F.max("place")).first()
+    if added >= most:
+        done, n_done = asked.where(F.col("place") <= until), until  # places are dense, from 1
+    else:
+        done, n_done = asked, places
     label = lambda i: F.col("path")[i]["label"]
     last = edges.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     new = good.crossJoin(F.broadcast(last)).select(  # one row
@@ -113,7 +126,9 @@ def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: Dat
         provenance("derived", operation_id=F.concat(F.lit(f"{pass_id}:link:"), label(0), F.lit("->"), label(2)), operation_type=F.lit("traversal"), inputs=F.transform("path", lambda n: F.struct(n["id"].alias("id"), n["version"].alias("version"))), derived_at=now, llm_run_id=F.lit(pass_id)).alias("provenance"),
         (F.col("last") + F.col("place")).alias("seq"), "what", "why", F.concat(label(0), F.lit(" -["), F.col("edge_type"), F.lit("]-> "), label(2)).alias("summary"),
     )
-    new = durable(new)
     keys = done.select("low", "high")
-    tried = durable(keys if tried is None else tried.select("low", "high").union(keys))
-    return {"edges": durable(edges.unionByName(shaped(new, edges.schema))), "new": new, "tried": tried, "asked": done.count(), "added": added, "failed": done.where("error is not null")}
+    tried = keys if tried is None else tried.select("low", "high").union(keys)
+    if added:
+        new = durable(new)
+        edges = edges.unionByName(shaped(new, edges.schema))
+    return {"edges": edges, "new": new, "tried": tried, "asked": n_done, "added": added, "failed": done.where("error is not null")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,25 +79,39 @@ def verdicts(pairs: DataFrame, providers: Providers) -> DataFrame:
     return durable(pairs.select("a", "b", "rank", "na", "nb").mapInPandas(judged, "a string, b string, rank long, verdict string, why string"))
 
 
-def matching(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Pairs that one task goes through in order.
+FEW_PAIRS = 100_000
+
+
+def _one_by_one(batches):
+    rows, used = pd.concat(list(batches)).sort_values("rank"), set()
+    won = []
+    for r in rows.itertuples(index=False):
+        won.append(not {r.a, r.b} & used)
+        if won[-1]:
+            used |= {r.a, r.b}
+    yield rows[won]
+
+
+def matching(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, rank) those that going through them by rank would take, each node once.
 
     A pair that has the lowest rank at both of its nodes is taken for certain; its nodes' other pairs go;
-    and so on. Each round is a few joins; long chains of ever lower ranks take many rounds.
+    and so on. A round is a few joins, and takes the lowest rank of all at least. When FEW_PAIRS or fewer are
+    left, one task goes through them.
     """
-    left, taken = durable(pairs.select("a", "b", "rank")), None
-    for _ in range(most_rounds):
-        if left.isEmpty():
+    left, taken = durable(pairs.select("a", "b", "rank")), []
+    while n := left.count():
+        if n <= FEW_PAIRS:
+            taken.append(durable(left.repartition(1).mapInPandas(_one_by_one, left.schema)))
             break
         at = left.select(F.explode(F.array("a", "b")).alias("id"), "rank").groupBy("id").agg(F.min("rank").alias("low"))
         low_a, low_b = at.select(F.col("id").alias("a"), F.col("low").alias("la")), at.select(F.col("id").alias("b"), F.col("low").alias("lb"))
         won = durable(left.join(low_a, "a").join(low_b, "b").where("rank = la and rank = lb").select("a", "b", "rank"))
-        taken = won if taken is None else durable(taken.union(won))
+        taken.append(won)
         ids = won.select(F.explode(F.array("a", "b")).alias("id"))
         left = durable(left.join(ids.withColumnRenamed("id", "a"), "a", "left_anti").join(ids.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "rank"))
-    else:
-        raise RuntimeError(f"the matching took over {most_rounds} rounds")
-    return left if taken is None else taken
+    return reduce(DataFrame.union, taken) if taken else left
 
 
 def judged_in_order(judged: DataFrame, matched: DataFrame) -> DataFrame:
@@ -157,15 +173,16 @@ def merge_nodes(nodes: DataFrame, matched: DataFrame, fusions: DataFrame, pass_i
 
 def merge_round(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, providers: Providers, pass_id: str, now: Column, **thresholds) -> dict:
     """One round: the new nodes and edges, the merged pairs with their new ids, the verdicts, and counts for the log."""
-    pairs = durable(candidates(nodes, edges, vectors, **thresholds))
+    pairs = candidates(nodes, edges, vectors, **thresholds)
     n = pairs.count()
     shown = judge_rows(pairs, nodes, edges)
     judged = verdicts(shown, providers)
     matched = matching(judged.where("verdict = 'same'"))
     judged = durable(judged_in_order(judged, matched))
-    nodes = durable(decay_caveats(nodes, judged))
-    n_merged = matched.count()
     found = {r["verdict"]: r["n"] for r in histogram(judged).collect()}  # a row a kind of verdict
+    n_merged = found["same"]  # each that is reached in order is taken
+    if found["same_with_caveats"]:
+        nodes = durable(decay_caveats(nodes, judged))
     remap = None
     if n_merged:
         fusions = fused(shown.join(matched.select("a", "b"), ["a", "b"], "left_semi"), providers)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -15,17 +16,28 @@ from graphloom.session import durable
 
 #: Vectors in a block of the blocked comparison, and queries that are asked at a time.
 BLOCK, MOST_QUERIES = 4096, 4096
+#: Rows that are compared with a block at once.
+STRIPE = 512
 #: Rows whose lists measure window_top_k(), and how much of them it has to find.
 SAMPLE, RECALL = 200, 0.95
 
 
 def top_k(rows: DataFrame, query: list[float], k: int = 5, vector_col: str = "vector") -> DataFrame:
-    """The k rows (id, vector) most similar to one vector, with ``sim`` and ``rank`` from 1; ties by id. k below 1 gives none."""
+    """The k rows (id, vector) most similar to one vector, with ``sim`` and ``rank`` from 1; ties by id. k below 1 gives none.
+
+    Vectors that are null, hold nulls or have another length are left out, here and below.
+    """
     q = F.array(*(F.lit(float(x)) for x in query))
+    rows = rows.where((F.size(vector_col) == len(query)) & F.forall(vector_col, lambda x: x.isNotNull()))
     best = rows.withColumn("sim", cosine(F.col(vector_col), q)).orderBy(F.col("sim").desc(), "id").limit(max(0, k))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sim").desc(), "id")))  # k rows
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``vector`` can be compared (with others of its length, ``dim``): not null, and without nulls in it."""
+    return rows.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())).withColumn("dim", F.size("vector"))
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, float) for v in vectors])
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -42,6 +54,19 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -sims[some]))][:k]
 
 
+def _best_of_rows(mine: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, values) of each row's k largest, ties by id; a row's own id is left out."""
+    sims[mine[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, max(0, sims.shape[1] - k)]
+    r, c = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((place[c], -sims[r, c], r))
+    r, c = r[order], c[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[nth < k], c[nth < k], sims[r[nth < k], c[nth < k]]
+
+
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, sim, rank) for a set of queries (query_id, vector) of any size, MOST_QUERIES of which go to every task at a time.
 
@@ -51,10 +76,11 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     schema = "query_id string, id string, sim double"
     if k < 1:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    blocks, found = batched(queries.select("query_id", "vector").toLocalIterator(), MOST_QUERIES), None
+    blocks, found = batched(_whole(queries.select("query_id", "vector")).toLocalIterator(), MOST_QUERIES), None
     for asked in blocks:
-        names, q = np.array([str(r["query_id"]) for r in asked]), _unit(pd.Series([r["vector"] for r in asked]))
-        some = _ranked(rows.select("id", "vector").mapInPandas(_search(names, q, k), schema), k)
+        of = {d: [r for r in asked if r["dim"] == d] for d in {r["dim"] for r in asked}}
+        of = {d: ([str(r["query_id"]) for r in own], _unit(pd.Series([r["vector"] for r in own]))) for d, own in of.items()}
+        some = _ranked(_whole(rows.select("id", "vector")).mapInPandas(_search(of, k), schema), k)
         if found is not None or len(asked) == MOST_QUERIES:
             some = durable(some)
         found = some if found is None else found.union(some)
@@ -63,15 +89,19 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return _ranked(found.drop("rank"), k)  # a name may be in two blocks
 
 
-def _search(names: np.ndarray, q: np.ndarray, k: int):
+def _search(of: dict[int, tuple[list[str], np.ndarray]], k: int):
+    """of: names and vectors of the queries by length."""
+
     def search(batches):
-        for part in batches:
-            if not len(part):
-                continue
-            sims, ids = _unit(part["vector"]) @ q.T, part["id"].astype(str).to_numpy()
-            for j, name in enumerate(names):
-                at = _best(ids, sims[:, j], k)
-                yield pd.DataFrame({"query_id": name, "id": ids[at], "sim": sims[at, j]})
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                names, q = of.get(dim, ([], None))
+                if not names:
+                    continue
+                sims, ids = _unit(part["vector"]) @ q.T, part["id"].astype(str).to_numpy()
+                for j, name in enumerate(names):
+                    at = _best(ids, sims[:, j], k)
+                    yield pd.DataFrame({"query_id": name, "id": ids[at], "sim": sims[at, j]})
 
     return search
 
@@ -90,24 +120,23 @@ def self_top_k(rows: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """
     n = rows.count()
     blocks = max(1, -(-n // block))
-    keyed = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    keyed = _whole(rows.select("id", "vector")).select("id", "vector", "dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.select(F.col("own").alias("i"), all_.alias("j"), "id", "vector", F.lit(True).alias("asks"))
-    right = keyed.select(all_.alias("i"), F.col("own").alias("j"), "id", "vector", F.lit(False).alias("asks"))
+    left = keyed.select(F.col("own").alias("i"), all_.alias("j"), "id", "vector", "dim", F.lit(True).alias("asks"))
+    right = keyed.select(all_.alias("i"), F.col("own").alias("j"), "id", "vector", "dim", F.lit(False).alias("asks"))
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         a, b = part[part["asks"]], part[~part["asks"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "sim": []})
-        sims = _unit(a["vector"]) @ _unit(b["vector"]).T
-        ids, mine, out = b["id"].to_numpy(), a["id"].to_numpy(), []
-        for r in range(len(a)):
-            at = _best(ids, np.where(ids == mine[r], -np.inf, sims[r]), k)
-            at = at[ids[at] != mine[r]]
-            out.append(pd.DataFrame({"id": mine[r], "other": ids[at], "sim": sims[r, at]}))
+        x, y, out = _unit(a["vector"]), _unit(b["vector"]), []
+        ids, mine = b["id"].to_numpy(), a["id"].to_numpy()
+        for i in range(0, len(x), STRIPE):
+            r, c, sims = _best_of_rows(mine[i : i + STRIPE], ids, x[i : i + STRIPE] @ y.T, k)
+            out.append(pd.DataFrame({"id": mine[i + r], "other": ids[c], "sim": sims}))
         return pd.concat(out, ignore_index=True)
 
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "id string, other string, sim double")
+    found = left.unionByName(right).groupBy("dim", "i", "j").applyInPandas(compare, "id string, other string, sim double")
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -124,8 +153,11 @@ def window_top_k(rows: DataFrame, k: int = 5, passes: int = 12, window: int = 51
     """
     if not 0 < window <= BLOCK:
         raise ValueError(f"window must be from 1 to {BLOCK}")
-    rows = durable(rows.select("id", "vector"))
-    n = rows.count()
+    rows = durable(_whole(rows.select("id", "vector")))
+    sizes = rows.groupBy("dim").count().collect()  # a row a length
+    if len(sizes) > 1:
+        return reduce(DataFrame.union, (window_top_k(rows.where(F.col("dim") == s["dim"]), k, passes, window, seed, recall) for s in sizes))
+    n = sizes[0]["count"] if sizes else 0
     if k < 1 or passes * 4 * window >= n:
         return self_top_k(rows, k)
     some = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
