@@ -154,6 +154,102 @@ def prune_sql(cascade: bool) -> str:
     return f"pe AS (SELECT id, source_id, target_id, type, weight, l_returnflag = 'R' AS suspicious, CASE WHEN l_returnflag = 'R' THEN {count} ELSE 0 END AS cnt FROM ({SUPPLIES_SQL}))"
 
 
+def pass_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The tables' graph for a maintenance pass: nations' summaries name their region, and supplies are marked as in prune_input(cascade)."""
+    region = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("said"))
+    nodes = table_nodes(spark, sf_dir).join(region, "id", "left").withColumn("summary", F.coalesce("said", "summary"))
+    line = prune_input(spark, sf_dir, True).withColumn("seq", F.lit(1).cast("long"))
+    edges = table_edges(spark, sf_dir).where("type <> 'SUPPLIES'").withColumns({"suspicious": F.lit(False), "suspicious_pass_count": F.lit(0), "seq": F.lit(0).cast("long")})
+    return Graph(shaped(nodes, NODE), shaped(edges.unionByName(line), EDGE))
+
+
+def supplier_vectors(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """(id, vector) of the suppliers among active nodes: a place each for the pair (2j, 2j + 1), in two digits of base 64, for any supplier, for the nation, and for odd or even.
+
+    Lengths are 1, cosines are 64ths, and all are exact.
+    """
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_suppkey").cast("long").alias("k"), F.floor(F.col("s_suppkey") / 2).alias("j"), F.col("s_nationkey").cast("long").alias("nation"))
+    rows = s.join(nodes.where("merged_into IS NULL").select("id"), "id", "left_semi")
+    places = [(F.lit(0).cast("long"), 0.25), (1 + F.col("j") % 64, 0.75), (65 + F.floor(F.col("j") / 64) % 64, 0.5), (129 + F.col("nation"), 0.25), (160 + F.col("k") % 2, 0.25)]
+
+    def at(i):
+        out = F.lit(0.0)
+        for place, x in places:
+            out = F.when(i == place, x).otherwise(out)
+        return out
+
+    return rows.select("id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(161).cast("long")), at).alias("vector"))
+
+
+def judge_suppliers(a: dict, b: dict) -> tuple[str, str]:
+    """Two of three pairs (2j, 2j + 1) are the same; suppliers two apart are so with caveats."""
+    x, y = sorted((int(a["id"][1:]), int(b["id"][1:])))
+    if x // 2 == y // 2:
+        return ("same" if x // 2 % 3 else "different"), "their numbers"
+    return ("same_with_caveats" if y - x == 2 else "different"), "their numbers"
+
+
+def link_nations(seed: dict, remote: dict, path: str) -> dict:
+    """Nations of one region belong together."""
+    holds = seed["type"] == remote["type"] == "Nation" and seed["summary"] == remote["summary"]
+    return {"holds": holds, "edge_type": "BESIDE", "what": "both lie in a region", "why": path}
+
+
+def _judged_sql(k: int, suppliers: str) -> str:
+    """What a round of merging judges among the suppliers of a table (id, k, j, nation): pairs by rank, verdicts, and those reached in order."""
+    return f"""
+al{k} AS (SELECT x.id, y.id AS other, (4 + 36 * (x.j % 64 = y.j % 64)::INT + 16 * ((x.j // 64) % 64 = (y.j // 64) % 64)::INT + 4 * (x.nation = y.nation)::INT + 4 * (x.k % 2 = y.k % 2)::INT) / 64::DOUBLE AS sim FROM {suppliers} AS x JOIN {suppliers} AS y ON x.id <> y.id),
+tl{k} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS place FROM al{k} QUALIFY place <= 5),
+cm{k} AS (SELECT t.id, t.other, count(*) AS n FROM tl{k} AS t JOIN sa AS p ON p.id = t.id JOIN sa AS q ON q.id = t.other AND q.near = p.near GROUP BY t.id, t.other),
+ca{k} AS (SELECT t.id AS a, t.other AS b, t.place, substr(t.id, 2)::BIGINT AS seq FROM tl{k} AS t LEFT JOIN cm{k} AS c ON c.id = t.id AND c.other = t.other LEFT JOIN sn AS u ON u.id = t.id LEFT JOIN sn AS v ON v.id = t.other
+  WHERE sim >= 0.55::DOUBLE OR coalesce(coalesce(c.n, 0) / nullif(coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(c.n, 0), 0)::DOUBLE, 0) >= 0.3::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY least(t.id, t.other), greatest(t.id, t.other) ORDER BY seq, place) = 1),
+ju{k} AS (SELECT a, b, row_number() OVER (ORDER BY seq, place, a) AS rank, least(substr(a, 2)::BIGINT, substr(b, 2)::BIGINT) AS x, greatest(substr(a, 2)::BIGINT, substr(b, 2)::BIGINT) AS y FROM ca{k}),
+ve{k} AS (SELECT *, CASE WHEN x // 2 = y // 2 THEN CASE WHEN (x // 2) % 3 > 0 THEN 'same' ELSE 'different' END WHEN y - x = 2 THEN 'same_with_caveats' ELSE 'different' END AS verdict FROM ju{k}),
+wh{k} AS (SELECT unnest([a, b]) AS id, rank AS won FROM ve{k} WHERE verdict = 'same'),
+jo{k} AS (SELECT v.* FROM ve{k} AS v LEFT JOIN wh{k} AS p ON p.id = a LEFT JOIN wh{k} AS q ON q.id = b WHERE rank <= coalesce(p.won, rank) AND rank <= coalesce(q.won, rank))"""
+
+
+#: The counts of a pass over pass_graph(), with the log of traversals(): every step in SQL.
+PASS_SQL = f"""
+WITH {TRAVERSALS_SQL}, n AS ({NODES_SQL}),
+ed AS (SELECT id, source_id, target_id, type, weight, FALSE AS suspicious, 0 AS cnt, 0 AS seq FROM ({EDGES_SQL}) WHERE type <> 'SUPPLIES'
+       UNION ALL SELECT id, source_id, target_id, type, weight, l_returnflag = 'R', CASE WHEN l_returnflag = 'R' THEN l_linenumber % 3 ELSE 0 END, 1 FROM ({SUPPLIES_SQL})),
+ts AS (SELECT edge_id, seed, count(*) AS n FROM te GROUP BY ALL), th AS (SELECT edge_id, sum(n) AS traversed FROM ts GROUP BY edge_id),
+ch AS (SELECT edge_id, sum(n) AS cited FROM ts JOIN ed ON ed.id = edge_id WHERE seed IN (source_id, target_id) GROUP BY edge_id),
+re AS (SELECT ed.* REPLACE ((weight + (coalesce(traversed, 0) * 0.01::DOUBLE + coalesce(cited, 0) * 0.02::DOUBLE)) * 0.95::DOUBLE AS weight) FROM ed LEFT JOIN th ON th.edge_id = ed.id LEFT JOIN ch ON ch.edge_id = ed.id),
+nw AS (SELECT node, avg(weight) AS w FROM (SELECT source_id AS node, weight FROM re UNION ALL SELECT target_id, weight FROM re) GROUP BY node),
+sa AS (SELECT DISTINCT source_id AS id, target_id AS near FROM ed WHERE source_id LIKE 's%'), sn AS (SELECT id, count(*) AS n FROM sa GROUP BY id),
+s0 AS (SELECT 's' || s_suppkey AS id, s_suppkey AS k, s_suppkey // 2 AS j, s_nationkey AS nation FROM supplier), {_judged_sql(0, "s0")},
+s1 AS (SELECT * FROM s0 WHERE id NOT IN (SELECT id FROM wh0)), {_judged_sql(1, "s1")},
+rm AS (SELECT id AS old_id, 'm' || won AS new_id FROM wh0),
+mv AS (SELECT re.*, coalesce(a.new_id, source_id) AS s, coalesce(b.new_id, target_id) AS t, a.new_id IS NOT NULL OR b.new_id IS NOT NULL AS touched FROM re LEFT JOIN rm AS a ON a.old_id = source_id LEFT JOIN rm AS b ON b.old_id = target_id),
+mg AS (SELECT weight, suspicious, cnt FROM mv WHERE NOT touched
+       UNION ALL SELECT sum(weight), arg_min(suspicious, (seq, id)), arg_min(cnt, (seq, id)) FROM mv WHERE touched AND s <> t GROUP BY s, t, type),
+lo AS (SELECT suspicious, greatest(0, 3 - CASE WHEN suspicious THEN cnt + 1 ELSE 1 END) AS dr FROM mg WHERE weight <= 0.1),
+ro AS (SELECT 1 + a + a * b + a * b * c AS rounds FROM (SELECT coalesce(max((dr = 0)::INT), 0) AS a, coalesce(max((dr = 1)::INT), 0) AS b, coalesce(max((dr = 2)::INT), 0) AS c FROM lo)),
+pt AS (SELECT count(*) FILTER (dr < rounds) AS pruned, count(*) FILTER (NOT suspicious) AS marked, coalesce(any_value(rounds), 1) AS rounds FROM lo, ro),
+ac AS (SELECT n.id, n.seq, coalesce(w, n.weight) AS w FROM n LEFT JOIN nw ON node = n.id WHERE n.id NOT IN (SELECT old_id FROM rm)
+       UNION ALL SELECT new_id, 9000000000, sum(w) FROM rm JOIN nw ON node = old_id GROUP BY new_id),
+tp AS (SELECT id FROM ac QUALIFY row_number() OVER (ORDER BY w DESC, seq, id) <= greatest(1, (SELECT count(*) FROM ac) // 10)),
+li AS (SELECT count(*) AS links FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
+       WHERE 'n' || a.n_nationkey IN (SELECT id FROM tp) OR 'n' || b.n_nationkey IN (SELECT id FROM tp))
+SELECT unnest([
+  {{'name': 'edges_traversed', 'value': (SELECT count(*) FROM th)}},
+  {{'name': 'merge_total', 'value': (SELECT count(*) FROM ve0 WHERE verdict = 'same')}},
+  {{'name': 'merge_rounds', 'value': CASE WHEN (SELECT count(*) FROM ve0 WHERE verdict = 'same') > 0 THEN 2 ELSE 1 END}},
+  {{'name': 'candidates_0', 'value': (SELECT count(*) FROM ve0)}}, {{'name': 'same_0', 'value': (SELECT count(*) FROM jo0 WHERE verdict = 'same')}},
+  {{'name': 'different_0', 'value': (SELECT count(*) FROM jo0 WHERE verdict = 'different')}}, {{'name': 'same_with_caveats_0', 'value': (SELECT count(*) FROM jo0 WHERE verdict = 'same_with_caveats')}},
+  {{'name': 'candidates_1', 'value': (SELECT count(*) FROM ve1)}}, {{'name': 'same_1', 'value': (SELECT count(*) FROM jo1 WHERE verdict = 'same')}},
+  {{'name': 'different_1', 'value': (SELECT count(*) FROM jo1 WHERE verdict = 'different')}}, {{'name': 'same_with_caveats_1', 'value': (SELECT count(*) FROM jo1 WHERE verdict = 'same_with_caveats')}},
+  {{'name': 'prune_total', 'value': (SELECT pruned FROM pt)}}, {{'name': 'prune_rounds', 'value': (SELECT rounds FROM pt)}}, {{'name': 'marked', 'value': (SELECT marked FROM pt)}},
+  {{'name': 'link_total', 'value': (SELECT links FROM li)}},
+  {{'name': 'nodes', 'value': (SELECT count(*) FROM n) + (SELECT count(*) FROM rm) // 2}}, {{'name': 'active_nodes', 'value': (SELECT count(*) FROM ac)}},
+  {{'name': 'edges', 'value': (SELECT count(*) FROM mg) - (SELECT pruned FROM pt) + (SELECT links FROM li)}}
+], recursive := true)
+"""
+
+
 def merge_remap(spark: SparkSession, sf_dir: str, most: int | None = 10) -> DataFrame:
     """Suppliers 2k and 2k+1 become m<k>, for the first ``most`` k or as many as there are; None: for all."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey")

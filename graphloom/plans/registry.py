@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from graphloom.operators import link, merge, prune, reinforce, retrieve, similar
 from graphloom.plans import fixtures as fx
 from graphloom.plans import tools
 from graphloom.schema import bad_provenance, provenance
+from graphloom.session import shared_folder
 from graphloom.sources.logs import append_traversals, read_traversals
 from graphloom.sources.store import Graph, Store, recent_events
 from graphloom.sources.texts import section
@@ -282,7 +282,7 @@ def history_window(spark, d):
 # Reinforcement
 
 
-_HITS = f"{fx.TRAVERSALS_SQL}, th AS (SELECT edge_id, count(*) AS traversed FROM te GROUP BY edge_id), {_E}, ch AS (SELECT edge_id, count(*) AS cited FROM te JOIN e ON e.id = edge_id WHERE seed IN (source_id, target_id) GROUP BY edge_id)"
+_HITS = f"{fx.TRAVERSALS_SQL}, ts AS (SELECT edge_id, seed, count(*) AS n FROM te GROUP BY edge_id, seed), th AS (SELECT edge_id, sum(n)::BIGINT AS traversed FROM ts GROUP BY edge_id), {_E}, ch AS (SELECT edge_id, sum(n)::BIGINT AS cited FROM ts JOIN e ON e.id = edge_id WHERE seed IN (source_id, target_id) GROUP BY edge_id)"
 _REINFORCED = f"{_HITS}, re AS (SELECT e.*, (weight + (coalesce(traversed, 0) * 0.01::DOUBLE + coalesce(cited, 0) * 0.02::DOUBLE)) * 0.95::DOUBLE AS new_weight FROM e LEFT JOIN th ON th.edge_id = id LEFT JOIN ch ON ch.edge_id = id)"
 
 
@@ -403,9 +403,11 @@ def verdict_histogram(spark, d):
     return merge.histogram(merge.verdicts(rows, Providers(judge=by_nation))).select("verdict", F.col("n").cast("long").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CAND}, o AS (SELECT a, b, row_number() OVER (ORDER BY seq, rank, a) AS i FROM (SELECT a, b, seq, rank FROM k QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq, rank) = 1)),
+w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, FALSE AS won UNION ALL SELECT o.i, CASE WHEN list_has_any(used, [a, b]) THEN used ELSE list_concat(used, [a, b]) END, NOT list_has_any(used, [a, b]) FROM w JOIN o ON o.i = w.i + 1)
+SELECT a, b FROM o JOIN w USING (i) WHERE won""")
 def greedy_matching(spark, d):
-    """The candidates matched in order, each node once (tests hold it against going through them one by one)."""
+    """The candidates matched in order, each node once."""
     return merge.matching(_candidates(spark, d)).select("a", "b")
 
 
@@ -644,11 +646,7 @@ def wrong_calls(spark, d):
 
 def _folder(spark, name: str) -> str:
     """A new folder that all executors share."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None and not sc.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='graphloom-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _write_batches(path: str, shape=lambda batch: batch):
@@ -821,15 +819,30 @@ def window_topk(spark, d):
 
 @query()
 def embedded_nodes(spark, d):
-    """Texts of all nodes embedded by the default embedder."""
-    return fx.table_nodes(spark, d).select("id", F.size(embed(tx.retrieval_text(F.col("label"), F.col("summary")))).alias("dim"))
+    """Texts of all nodes embedded by the default embedder (a test counts their 3-grams in plain Python): its places other than 0, in millionths."""
+    v = embed(tx.retrieval_text(F.col("label"), F.col("summary")))
+    some = F.filter(F.transform("v", lambda x, i: F.concat_ws(":", i, F.round(x * 1_000_000).cast("long"))), lambda s: ~s.endswith(":0"))
+    return fx.table_nodes(spark, d).select("id", v.alias("v")).select("id", F.size("v").alias("dim"), F.array_join(some, ",").alias("vector"))
 
 
-@query()
+@query(fx.PASS_SQL)
 def maintenance_pass(spark, d):
-    """A whole pass over the toy graph, with the default providers: its counts."""
+    """A whole pass over the tables' graph, with the traversals as its log: its counts.
+
+    Suppliers are what can be merged, nations what can be linked; all other providers are the defaults.
+    """
     from graphloom.plans.passrun import run_pass
 
-    _, report, events = run_pass(fx.toy_graph(spark), None, "pass-toy")
-    rows = [(k, str(v)) for k, v in sorted(report["stats"].items())] + [("events", str(events.count()))]
-    return spark.createDataFrame(rows, "name string, value string")
+    providers = Providers(judge=fx.judge_suppliers, link=fx.link_nations)
+    graph, report, _ = run_pass(fx.pass_graph(spark, d), fx.traversals(spark, d), "pass-tables", providers, vectors=lambda nodes: fx.supplier_vectors(spark, d, nodes))
+    s = report["stats"]
+    said = {"edges_traversed": s["reinforce_edges_traversed"], "merge_total": s["merge_total"], "merge_rounds": report["merge_iters"]}
+    for k in range(2):
+        one = s.get(f"merge_round_{k}", {})
+        said |= {f"{c}_{k}": one.get(c, 0) for c in ("candidates", "same", "different", "same_with_caveats")}
+    said |= {"prune_total": s["prune_total"], "prune_rounds": report["prune_iters"], "marked": s.get("prune_round_0", {}).get("newly_marked", 0), "link_total": s["link_total"]}
+    said |= {"nodes": graph.nodes.count(), "active_nodes": g.active(graph.nodes).count(), "edges": graph.edges.count()}
+    return spark.createDataFrame(list(said.items()), "name string, value long")
+
+
+from graphloom.plans import scenarios  # noqa: E402, F401  registers its queries
