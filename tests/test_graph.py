@@ -17,10 +17,11 @@ from graphloom.plans import tools
 from graphloom.plans.fixtures import toy_graph
 from graphloom.plans.passrun import maintain, run_pass
 from graphloom.schema import EDGE, NODE, empty, provenance, shaped
-from graphloom.sources.logs import append_traversals, read_traversals
+from graphloom.session import in_order
+from graphloom.sources.logs import append_traversals, read_traversals, unread
 from graphloom.sources.store import Graph, Store, recent_events
 from graphloom.sources.texts import basename, read_text
-from graphloom.streaming.log_consumer import history_stream, reinforce_from_log, upsert_stream, windowed_counts
+from graphloom.streaming.log_consumer import consume, history_stream, reinforce_from_log, traversal_stream, upsert_stream, windowed_counts
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -136,8 +137,10 @@ def test_prune_against_the_loop(spark, seed):
     assert [(r["deleted"], r["marked"]) for r in prune.round_stats(frame).orderBy("round").collect()] == rounds
 
 
+@pytest.mark.parametrize("few", [0, 10, 100_000])
 @pytest.mark.parametrize("seed", range(3))
-def test_matching_against_one_by_one(spark, seed):
+def test_matching_against_one_by_one(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(merge, "FEW_PAIRS", few)  # rounds only, rounds and then one task, one task
     rng = random.Random(seed)
     pairs = [(f"n{a}", f"n{b}", i) for i, (a, b) in enumerate(tuple(rng.sample(range(14), 2)) for _ in range(30))]
     used, want = set(), set()
@@ -200,6 +203,16 @@ def test_similarity(spark):
     assert hashed_vector("") .sum() == 0 and abs((hashed_vector("some text") ** 2).sum() - 1) < 1e-9
 
 
+def test_vectors_that_cannot_be_compared_are_left_out(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", None), ("d", [1.0, None]), ("e", [1.0]), ("f", [2.0]), ("g", []), ("h", [0.0, 0.0])], "id string, vector array<double>")
+    pairs = {("a", "b"), ("b", "a"), ("e", "f"), ("f", "e"), ("a", "h"), ("b", "h"), ("h", "a"), ("h", "b")}
+    assert {(r["id"], r["other"]) for r in similarity.self_top_k(rows, 3).collect()} == pairs
+    assert {(r["id"], r["other"]) for r in similarity.window_top_k(rows, 3).collect()} == pairs
+    assert [r["id"] for r in similarity.top_k(rows, [1.0, 0.0], 9).orderBy("rank").collect()] == ["a", "b", "h"]
+    asked = rows.select(F.col("id").alias("query_id"), "vector").where("id in ('a', 'c', 'd', 'f')")
+    assert {(r["query_id"], r["id"]) for r in similarity.top_k_batch(rows, asked, 9).collect()} == {("a", "a"), ("a", "b"), ("a", "h"), ("f", "e"), ("f", "f")}
+
+
 def test_top_k_of_more_queries_than_a_block(spark, monkeypatch):
     import numpy as np
 
@@ -322,6 +335,8 @@ def test_text_functions(spark):
     assert [loose_json(x) for x in ("[1]", 'a {"b": 1} c', "{} {}", None)] == ["{}", '{"b": 1}', "{}", "{}"]
     assert tool_call('{"name": "x", "arguments": "[1]"}', ["x"]) is None
     assert tool_call('call: x{a: 1, b: "c"}', ["x"]) == ("x", {"a": 1, "b": "c"})
+    calls = ['{"name": "y", "arguments": {}} x{a: 1}', '{"function": "x"}', '{"name": "x", "arguments": "{broken"}', '{"name": ["x"], "arguments": {}}', "x{a b} x{c: 1}", "<tool_call>x{}</tool_call> y{}", "<tool_call> </tool_call>x{}", "", None]
+    assert [tool_call(c, ["x"]) for c in calls] == [("x", {"a": 1}), ("x", {}), ("x", {}), None, ("x", {}), ("x", {}), None, None, None]
     rows = spark.createDataFrame([(" \t a b \x1c\n",), (None,)], "t string")
     assert [r["s"] for r in rows.select(strip(F.col("t")).alias("s")).collect()] == ["a b", None]
     assert [basename(x) for x in ("../../etc/x.txt", "a\\b.txt", "..", "", None)] == ["x.txt", "b.txt", None, None, None]
@@ -420,6 +435,138 @@ def test_traversal_log_is_forgiving_and_read_once(spark, tmp_path):
     assert store.version()[0] == 3
 
 
+def test_only_whole_lines_are_records(spark, tmp_path):
+    """A line is one JSON object from end to end, or it is dropped."""
+    good = ['{"kind":"x"}', '  {"kind":"y","seed_node_ids":["a]","b}"]}  ', '{"kind":"q \\" } ]"}']
+    bad = ['{"kind":"x"} junk', '{"kind":"x"}]', '{"kind":"x"}}', '{"kind":"x"},', '{"kind":"x"}{"kind":"y"}', '{"kind":"x"},{"kind":"y"}', '{"kind":"x"}],[{"kind":"y"}', '{"kind":"x"},"w":{"kind":"y"}', "[1]", "3", "null", '"t"', "{", "}", "x"]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join([*good, *bad]) + "\n", encoding="utf-8")
+    assert sorted(r["kind"] for r in read_traversals(spark, f"{tmp_path}/log").collect()) == ['q " } ]', "x", "y"]
+    got = []
+    consume(traversal_stream(spark, f"{tmp_path}/log"), f"{tmp_path}/cp", lambda batch, _: got.extend(r["kind"] for r in batch.collect()))
+    assert len(got) == 3
+
+
+def test_the_pass_takes_each_record_once(spark, tmp_path):
+    """The tool's passes: what a saved pass has read doesn't count again, what a failed pass has read does."""
+    log, line = f"{tmp_path}/log", '{"kind":"graph_query","seed_node_ids":["t02"],"touched_node_ids":[],"touched_edge_ids":["e00"]}'
+    store = Store(spark, f"{tmp_path}/g")
+    store.save(toy_graph(spark))
+    spark.createDataFrame([(line,)] * 3, "value string").coalesce(1).write.mode("append").text(log)
+    traversed = lambda agent: agent.run("trigger_sleep_pass", {})["stats"]["reinforce_edges_traversed"]
+    agent = tools.Agent(store, log, f"{tmp_path}", f"{tmp_path}/none.md")
+    with pytest.raises(ZeroDivisionError):
+        records, files = unread(spark, log, store.taken())
+        maintain(store, records, took=files, vectors=lambda nodes: 1 / 0)
+    assert (traversed(agent), store.taken().count()) == (1, 1)
+    weight = store.load().edges.where("id = 'e00'").first()["weight"]
+    assert weight == pytest.approx((2.0 + 3 * 0.03) * 0.95)
+    assert traversed(agent) == 0
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(log)
+    assert (traversed(agent), traversed(agent), store.taken().count()) == (1, 0, 2)
+    assert store.load().edges.where("id = 'e00'").first()["weight"] == pytest.approx(((weight * 0.95 + 0.03) * 0.95) * 0.95)
+
+
+def test_a_batch_that_comes_again_is_not_applied_twice(spark, tmp_path, monkeypatch):
+    """A failure between the save and the stream's checkpoint: the batch comes again, its version is there."""
+    (tmp_path / "log").mkdir()
+    line = '{"kind":"graph_query","seed_node_ids":["t02"],"touched_node_ids":[],"touched_edge_ids":["e00"]}'
+    (tmp_path / "log" / "a.json").write_text(f"{line}\n", encoding="utf-8")
+    store = Store(spark, f"{tmp_path}/g")
+    store.save(toy_graph(spark))
+    save = Store.save
+
+    def lost(self, *args):
+        save(self, *args)
+        raise RuntimeError("lost after the save")
+
+    monkeypatch.setattr(Store, "save", lost)
+    with pytest.raises(Exception, match="lost after the save"):
+        reinforce_from_log(spark, store, f"{tmp_path}/log", f"{tmp_path}/cp")
+    monkeypatch.setattr(Store, "save", save)
+    reinforce_from_log(spark, store, f"{tmp_path}/log", f"{tmp_path}/cp")
+    assert store.version()[0] == 2 and store.load().edges.where("id = 'e00'").first()["weight"] == pytest.approx((2.0 + 0.03) * 0.95)
+    (tmp_path / "log" / "b.json").write_text(f"{line}\n", encoding="utf-8")
+    reinforce_from_log(spark, store, f"{tmp_path}/log", f"{tmp_path}/cp")
+    assert store.version()[0] == 3
+
+
+def test_in_order_is_dense(spark):
+    rows = in_order(spark.range(5000).repartition(7).withColumn("k", F.col("id") % 10), [F.col("k").desc(), "id"], "n").collect()
+    assert [(r["k"], r["id"]) for r in sorted(rows, key=lambda r: r["n"])] == [(k, i) for k in range(9, -1, -1) for i in range(k, 5000, 10)]
+    assert sorted(r["n"] for r in rows) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_link_rounds_ask_what_all_pairs_in_order_would(spark, monkeypatch, most):
+    """Seeds in small batches: the same pairs, in the same order, as from all pairs at once."""
+    monkeypatch.setattr(link, "FIRST_SEEDS", 2)
+    monkeypatch.setattr(link, "FIRST_BATCH", 3)
+    _, _, nodes, edges = random_graph(spark, 5, n=40, m=60)
+    nodes, edges = shaped(nodes, NODE), shaped(edges, EDGE)
+    seeds = nodes.where("seq % 3 = 0").select("id")
+    whole = link.pairs_to_ask(nodes, edges, seeds, None).orderBy("place").collect()
+    holds = lambda s, r, p: {"holds": (int(s["id"][1:]) + int(r["id"][1:])) % 4 == 0, "what": "w", "why": "y"}
+    want, n = [], 0
+    for p in whole:
+        if n < most:
+            want.append((p["low"], p["high"]))
+            n += holds({"id": p["seed_id"]}, {"id": p["remote_id"]}, "")["holds"]
+    got = link.link_round(nodes, edges, seeds, None, Providers(link=holds), "p", F.lit(NOW), most)
+    assert {tuple(r) for r in got["tried"].collect()} == set(want) and (got["asked"], got["added"]) == (len(want), n)
+    assert most > 3 or len(want) < len(whole)
+
+
+def test_roles_fall_back_and_the_environment_is_checked(monkeypatch):
+    from graphloom.functions.providers import BACKENDS, ChatClient, backend_of, validate_env
+
+    monkeypatch.setitem(BACKENDS, "other", lambda env: ChatClient("http://127.0.0.1:9", "m", timeout=0.2))
+    assert [backend_of("agent", env) for env in ({}, {"GRAPHLOOM_BACKEND": "other"}, {"GRAPHLOOM_BACKEND": "other", "GRAPHLOOM_AGENT": "local"}, {"GRAPHLOOM_AGENT": ""})] == ["local", "other", "local", "local"]
+    got = validate_env({"GRAPHLOOM_BACKEND": "other"})
+    assert got == {"backend": "other", "agent": "other", "base_url": "http://127.0.0.1:9", "model": "m", "context_tokens": 40_000, "reachable": False}
+    with pytest.raises(ValueError):
+        validate_env({"GRAPHLOOM_AGENT": "none"})
+
+
+def test_chat_client_against_a_server():
+    """What is sent and what is taken of the reply; a server that is away doesn't answer a ping."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from graphloom.functions.providers import ChatClient
+
+    got = []
+
+    class Server(BaseHTTPRequestHandler):
+        def _say(self, body):
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            got.append((self.path, None))
+            self._say({"data": []})
+
+        def do_POST(self):
+            got.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.headers["Authorization"]))
+            self._say({"choices": [{"message": {"content": "hi", "tool_calls": None}}]})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = ChatClient(f"http://127.0.0.1:{server.server_port}/v1/", "m", "key", timeout=10)
+    assert client.chat([{"role": "user", "content": "q"}], tools=[{"type": "function"}], temperature=0.7)["content"] == "hi" and client.ping()
+    assert got[0] == ("/v1/chat/completions", {"model": "m", "messages": [{"role": "user", "content": "q"}], "temperature": 0.7, "tools": [{"type": "function"}], "tool_choice": "auto"}, "Bearer key")
+    assert client.chat([])["content"] == "hi" and "tools" not in got[2][1] and got[1] == ("/v1/models", None)
+    server.shutdown()
+    server.server_close()
+    assert not client.ping()
+
+
 def test_upsert_stream(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/g")
     store.save(toy_graph(spark))

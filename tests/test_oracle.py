@@ -88,6 +88,27 @@ def test_two_hops_over_all_edges(spark):
     assert sorted(map(tuple, rows)) == sorted(asked.values())
 
 
+def test_embedded_nodes(spark):
+    """Signed counts of hashed 3-grams, of length 1."""
+    import zlib
+    from collections import Counter
+
+    from graphloom.plans import fixtures as fx
+
+    text = {r["id"]: f"{r['label']}: {r['summary']}" for r in fx.table_nodes(spark, FOLDER).collect()}
+    got = QUERIES["embedded_nodes"](spark, FOLDER).collect()
+    assert len(got) == len(text)
+    for r in got:
+        data, n = f" {text[r['id']].lower()} ".encode(), Counter()
+        for i in range(len(data) - 2):
+            h = zlib.crc32(data[i : i + 3])
+            n[h % 128] += 1 if h >> 16 & 1 else -1
+        length = math.sqrt(sum(x * x for x in n.values()))
+        want = {i: x / length * 1e6 for i, x in n.items() if x}
+        found = {int(i): int(x) for i, x in (p.split(":") for p in r["vector"].split(","))}
+        assert r["dim"] == 128 and found.keys() == want.keys() and all(abs(found[i] - want[i]) <= 1 for i in want)
+
+
 @pytest.mark.parametrize("name", ["node_scan", "ghost_cleanup", "edge_migration", "merge_nodes"])
 def test_all_suppliers_merge(spark, name):
     """More pairs than ten, against SQL without the bound; the smallest tables have five pairs only."""
