@@ -113,10 +113,15 @@ def migrate(edges: DataFrame, remap: DataFrame) -> DataFrame:
     return found.where(~F.col("__touched")).select(*edges.columns).unionByName(one.select("source_id", "target_id", "type", "weight", "r.*").select(*edges.columns))
 
 
-def two_hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed_id, mid_id, remote_id): nodes at distance exactly 2 from each seed (id), by the smallest node between."""
-    one = neighbours(nodes, edges, seeds).where("id <> other").select(F.col("id").alias("seed_id"), F.col("other").alias("mid_id"))
-    step = neighbours(nodes, edges, one.select(F.col("mid_id").alias("id"))).select(F.col("id").alias("mid_id"), F.col("other").alias("remote_id"))
+def two_hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(seed_id, mid_id, remote_id): nodes at distance exactly 2 from each seed (id), by the smallest node between.
+
+    near: all neighbours(nodes, edges), where they are at hand.
+    """
+    first = neighbours(nodes, edges, seeds) if near is None else near.join(seeds.select("id").distinct(), "id", "left_semi")
+    one = first.where("id <> other").select(F.col("id").alias("seed_id"), F.col("other").alias("mid_id"))
+    step = neighbours(nodes, edges, one.select(F.col("mid_id").alias("id"))) if near is None else near
+    step = step.select(F.col("id").alias("mid_id"), F.col("other").alias("remote_id"))
     two = one.join(step, "mid_id").where("seed_id <> remote_id").groupBy("seed_id", "remote_id").agg(F.min("mid_id").alias("mid_id"))
     return two.join(one.select("seed_id", F.col("mid_id").alias("remote_id")), ["seed_id", "remote_id"], "left_anti").select("seed_id", "mid_id", "remote_id")
 

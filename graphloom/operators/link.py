@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.providers import Providers
 from graphloom.functions.text import path_text, strip
-from graphloom.operators.graph import active, two_hops, unlinked
+from graphloom.operators.graph import active, neighbours, two_hops
 from graphloom.schema import provenance, shaped, stable_id
 from graphloom.session import durable, in_order
 
 #: Fixed values.
 MOST_NEW, NEW_WEIGHT, SEED_SHARE = 20, 0.5, 10
 #: Pairs that a round asks first, and seeds that it looks around first.
-FIRST_BATCH, FIRST_SEEDS = 200, 16
+FIRST_BATCH, FIRST_SEEDS = 200, 64
 
 
 def top_share(nodes: DataFrame, share: int = SEED_SHARE) -> DataFrame:
@@ -33,23 +33,23 @@ def seeds(nodes: DataFrame, merged: DataFrame | None) -> DataFrame:
     return own if merged is None else own.union(merged.select("id").join(nodes.select("id"), "id", "left_semi")).distinct()
 
 
-def pairs_to_ask(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, earlier: DataFrame | None = None) -> DataFrame:
-    """(seed_id, mid_id, remote_id, place): pairs at distance two that weren't tried before, in the order of seeds and remotes.
+def pairs_to_ask(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, among: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(seed_id, mid_id, remote_id, low, high, place): pairs at distance two that weren't tried before, in the order of seeds and remotes.
 
-    A pair that two seeds reach from either end is asked once, by the seed that came first. earlier: (id), seeds
-    that came before all of ``seeds_`` and have asked their pairs.
+    A pair that two seeds reach from either end is asked once, by the seed that came first. among: all seeds
+    (id), where seeds_ is a part of them; near: see two_hops().
     """
-    rows = unlinked(two_hops(nodes, edges, seeds_), edges)
-    if earlier is not None:
-        rows = rows.join(earlier.select(F.col("id").alias("remote_id")), "remote_id", "left_anti")
+    rows = two_hops(nodes, edges, seeds_, near)  # a pair with an edge is at distance one
     rows = rows.withColumn("low", F.least("seed_id", "remote_id")).withColumn("high", F.greatest("seed_id", "remote_id"))
     if tried is not None:
         rows = rows.join(tried.select("low", "high"), ["low", "high"], "left_anti")
-    order = nodes.select(F.col("id").alias("seed_id"), F.col("seq").alias("s1")).distinct()
-    other = nodes.select(F.col("id").alias("remote_id"), F.col("seq").alias("s2")).distinct()
-    rows = rows.join(order, "seed_id").join(other, "remote_id")
-    one = rows.groupBy("low", "high").agg(F.min_by(F.struct("seed_id", "mid_id", "remote_id", "s1", "s2"), F.struct("s1", "s2")).alias("r")).select("r.*", "low", "high")
-    return in_order(one, ["s1", "s2", "seed_id", "remote_id"], "place").drop("s1", "s2")
+    order = nodes.select("id", "seq").distinct()
+    every = order.join((seeds_ if among is None else among).select("id").distinct(), "id", "left_semi")
+    rows = rows.join(every.select(F.col("id").alias("seed_id"), F.col("seq").alias("s1")), "seed_id")
+    rows = rows.join(every.select(F.col("id").alias("remote_id"), F.col("seq").alias("turn")), "remote_id", "left")
+    rows = rows.where(F.col("turn").isNull() | (F.struct("turn", "remote_id") > F.struct("s1", "seed_id"))).drop("turn")
+    rows = rows.join(order.select(F.col("id").alias("remote_id"), F.col("seq").alias("s2")), "remote_id")
+    return in_order(durable(rows), ["s1", "s2", "seed_id", "remote_id"], "place").drop("s1", "s2")  # sorting reads it twice
 
 
 def accepted(answers: DataFrame) -> DataFrame:
@@ -89,28 +89,29 @@ def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFra
     return durable(rows.select("place", "seed_id", "mid_id", "remote_id", "low", "high", "path", "path_text").join(found, "place"))
 
 
-def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, providers: Providers, pass_id: str, now: Column, most: int = MOST_NEW) -> dict:
-    """One round: edges with the new ones, the new ones, tried pairs (both are unions of what was written down), and counts.
+def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, providers: Providers, pass_id: str, now: Column, most: int = MOST_NEW, near: DataFrame | None = None) -> dict:
+    """One round: edges with the new ones, the new ones, tried pairs (both are unions of what was written down), neighbours, and counts.
 
     Pairs are asked in order until the round's quota is full: those of FIRST_SEEDS seeds and then of ever
     more are found, and FIRST_BATCH pairs and then ever more are asked, so that a quota that fills early
     leaves most pairs unfound. Pairs after the one that fills it stay untried and may come again; links made
     in this round open new pairs in the next.
     """
+    near = durable(neighbours(nodes, edges)) if near is None else near
     turns = in_order(nodes.join(seeds_.select("id").distinct(), "id", "left_semi").select("id", "seq"), ["seq", "id"], "turn").select("id", "turn")
     n_seeds, looked, wide, size, places, found, parts = turns.count(), 0, FIRST_SEEDS, FIRST_BATCH, 0, 0, []
     while looked < n_seeds and found < most:
-        own, earlier = turns.where(F.col("turn").between(looked + 1, looked + wide)), turns.where(F.col("turn") <= looked)
-        pairs = pairs_to_ask(nodes, edges, own, tried, earlier)
+        own = turns.where(F.col("turn").between(looked + 1, looked + wide))
+        pairs = pairs_to_ask(nodes, edges, own, tried, turns, near)
         n, upto = pairs.count(), 0
         while upto < n and found < most:
             part = pairs.where(F.col("place").between(upto + 1, upto + size)).withColumn("place", F.col("place") + places)
             parts.append(answers(part, nodes, providers))
             found += accepted(parts[-1]).count()
             upto, size = upto + size, size * 4
-        looked, wide, places = looked + wide, wide * 4, places + n
+        looked, wide, places = looked + wide, wide * 8, places + n
     if not parts:  # no pairs
-        parts.append(answers(pairs_to_ask(nodes, edges, seeds_.limit(0), tried), nodes, providers))
+        parts.append(answers(pairs_to_ask(nodes, edges, seeds_.limit(0), tried, near=near), nodes, providers))
     asked = reduce(DataFrame.union, parts)
     good = durable(first_accepted(asked, most))
     added, until = good.agg(F.count("*"), F.max("place")).first()
@@ -131,4 +132,6 @@ def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: Dat
     if added:
         new = durable(new)
         edges = edges.unionByName(shaped(new, edges.schema))
-    return {"edges": edges, "new": new, "tried": tried, "asked": n_done, "added": added, "failed": done.where("error is not null")}
+        ends = new.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+        near = near.union(ends).union(ends.select("other", "id"))  # none were neighbours before
+    return {"edges": edges, "new": new, "tried": tried, "near": near, "asked": n_done, "added": added, "failed": done.where("error is not null")}
