@@ -135,6 +135,30 @@ def test_splitting_tree_keeps_quotas(spark):
     assert [(r["shard"], r["blocks"]) for r in alone] == [(0, 9)]
 
 
+@pytest.mark.parametrize(("n", "shards"), [(200, 16), (4200, 4)])
+def test_splitting_tree_of_many_sources(spark, n, shards):
+    """More sources than a row of the tree holds, and more than a row of rows: quotas are kept, shards are even, shares are as a deal of all blocks gives them."""
+    quotas = {f"0s{i:05d}": i % 40 for i in range(n)}
+    tree = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "skey string, quota long"), shards).toPandas()
+    assert len(tree) == n * shards and tree["blocks"].min() >= 0
+    assert tree.groupby("skey")["blocks"].sum().to_dict() == quotas
+    whole = tree.groupby("shard")["blocks"].sum()
+    assert whole.max() - whole.min() <= shards.bit_length()
+    p, q = 1 / shards, tree["skey"].map(quotas).to_numpy()
+    total = sum(quotas.values())
+    spread = q * p * (1 - p) * (total - q) / (total - 1)  # of a hypergeometric number
+    off = (tree["blocks"] - q * p).to_numpy()
+    assert abs((off**2).sum() / spread.sum() - 1) < 0.15
+
+
+def test_mixed_rows_have_the_shards_of_the_plan(spark):
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 4}", None, None) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = Counter((r["doc_id"], s) for r in mixing.mix(docs, shards=8).collect() for s in r["shards"])
+    got = mixing.mixed(docs, shards=8, shard_col="to")
+    assert got.columns == [*docs.columns, "to"] and Counter((r["doc_id"], r["to"]) for r in got.collect()) == plan
+
+
 def test_draw_is_hypergeometric(spark):
     """Evenly spread uniform numbers give the distribution itself."""
     total, good, n, m = 60, 25, 30, 4000
