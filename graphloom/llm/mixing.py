@@ -125,7 +125,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
     """For each source and shard its number of blocks: (skey, shard, blocks), from (skey, quota).
 
     A node of the tree is as many rows as its sources need, GROUP a row, dealt to all tasks; a level is one
-    projection where all sources fit a row, else a few joins, written down.
+    projection where all sources fit a row, else a few joins. The result is a row a source and shard.
     """
     own = numbered(quotas.select("skey", F.col("quota").cast("long").alias("quota")), ["skey"], "i").withColumn("grp", F.expr(f"i div {GROUP}"))
     held = own.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", "skey", "quota"))).alias("s"))  # GROUP entries at most
@@ -137,9 +137,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         left = F.struct(F.col("got").alias("q"), F.col("first"), F.expr("if(n = 1, 1, n div 2)").alias("n"))
         right = F.struct(F.expr("zip_with(q, got, (a, b) -> a - b)").alias("q"), F.expr("int(first + n div 2)").alias("first"), F.expr("int(n - n div 2)").alias("n"))
         nodes = nodes.withColumn("e", F.explode(F.when(F.col("n") == 1, F.array(left)).otherwise(F.array(left, right)))).select("grp", "e.q", "e.first", "e.n")
-        if groups > 1:
-            nodes = durable(nodes.repartition(NODE_TASKS, "first", "grp"))
-    # A level's projections are many; the result is a row a source and shard.
+        # Written down level by level: the plan of all levels in one would fill the driver.
+        nodes = durable(nodes if groups == 1 else nodes.repartition(NODE_TASKS, "first", "grp"))
     pairs = nodes.join(held.select("grp", F.col("s.skey").alias("skeys")), "grp")
     pairs = pairs.select(F.col("first").alias("shard"), F.explode(F.arrays_zip(F.col("skeys").alias("skey"), F.col("q").alias("blocks"))).alias("p"))
     return durable(pairs.select("p.skey", "shard", "p.blocks"))
