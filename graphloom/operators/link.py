@@ -64,13 +64,15 @@ def first_accepted(answers: DataFrame, most: int = MOST_NEW) -> DataFrame:
     return accepted(answers).orderBy("place").limit(most)
 
 
-def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFrame:
-    """``pairs`` with the linker's verdict and the path's nodes; written down. A linker that fails doesn't hold, and says why in ``error``."""
-    ask = providers.link
+def _with_paths(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` with the nodes of their paths: n_seed_id, n_mid_id, n_remote_id."""
     node = lambda c: nodes.select(F.col("id").alias(c), F.struct("id", "type", "label", "summary", "version").alias(f"n_{c}"))
-    rows = pairs.join(node("seed_id"), "seed_id").join(node("mid_id"), "mid_id").join(node("remote_id"), "remote_id")
-    rows = rows.withColumn("path", F.array("n_seed_id", "n_mid_id", "n_remote_id"))
-    rows = rows.withColumn("path_text", path_text(F.col("path")))
+    return pairs.join(node("seed_id"), "seed_id").join(node("mid_id"), "mid_id").join(node("remote_id"), "remote_id")
+
+
+def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFrame:
+    """``pairs`` (see pairs_to_ask()) with the linker's verdict, written down. A linker that fails doesn't hold, and says why in ``error``."""
+    ask, keys = providers.link, ["place", "seed_id", "mid_id", "remote_id", "low", "high"]
 
     def said(batches):
         for part in batches:
@@ -82,11 +84,13 @@ def answers(pairs: DataFrame, nodes: DataFrame, providers: Providers) -> DataFra
                     v, error = {}, str(e)[:120]
                 holds = v.get("holds")
                 holds = holds.strip().lower() == "true" if isinstance(holds, str) else bool(holds)
-                out.append((r.place, holds, *(None if v.get(k) is None else str(v[k]) for k in ("what", "why", "edge_type")), error))
-            yield pd.DataFrame(out, columns=["place", "holds", "what", "why", "edge_type", "error"])
+                out.append((holds, *(None if v.get(k) is None else str(v[k]) for k in ("what", "why", "edge_type")), error))
+            verdicts = pd.DataFrame(out, columns=["holds", "what", "why", "edge_type", "error"])
+            yield pd.concat([part[keys].reset_index(drop=True), verdicts], axis=1)
 
-    found = rows.select("place", "n_seed_id", "n_remote_id", "path_text").mapInPandas(said, "place long, holds boolean, what string, why string, edge_type string, error string")
-    return durable(rows.select("place", "seed_id", "mid_id", "remote_id", "low", "high", "path", "path_text").join(found, "place"))
+    path = F.array("n_seed_id", "n_mid_id", "n_remote_id")
+    shown = _with_paths(pairs.select(*keys), nodes).select(*keys, "n_seed_id", "n_remote_id", path_text(path).alias("path_text"))
+    return durable(shown.mapInPandas(said, "place long, seed_id string, mid_id string, remote_id string, low string, high string, holds boolean, what string, why string, edge_type string, error string"))
 
 
 def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: DataFrame | None, providers: Providers, pass_id: str, now: Column, most: int = MOST_NEW, near: DataFrame | None = None) -> dict:
@@ -113,7 +117,8 @@ def link_round(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, tried: Dat
     if not parts:  # no pairs
         parts.append(answers(pairs_to_ask(nodes, edges, seeds_.limit(0), tried, near=near), nodes, providers))
     asked = reduce(DataFrame.union, parts)
-    good = durable(first_accepted(asked, most))
+    good = _with_paths(first_accepted(asked, most), nodes)
+    good = durable(good.withColumn("path", F.array("n_seed_id", "n_mid_id", "n_remote_id")).drop("n_seed_id", "n_mid_id", "n_remote_id"))
     added, until = good.agg(F.count("*"), F.max("place")).first()
     if added >= most:
         done, n_done = asked.where(F.col("place") <= until), until  # places are dense, from 1
