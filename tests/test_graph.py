@@ -625,3 +625,57 @@ def test_scores(spark):
 def test_empty_graph_passes(spark):
     graph, report, _ = run_pass(Graph(empty(spark, NODE), empty(spark, EDGE)), None, "p", now=NOW)
     assert report["stats"]["merge_total"] == report["stats"]["prune_total"] == report["stats"]["link_total"] == 0 and graph.nodes.count() == 0
+
+
+def _shuffled(spark, run):
+    """(what ``run`` gives, rows that it shuffled)."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    written = lambda: sum(s.shuffleWriteRecords() for s in _each(store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = written()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, written() - before
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_pairs_at_a_hub_are_not_moved(spark, ordered):
+    """2.2 million pairs around one hub: none of them is shuffled, only the hub's neighbours are."""
+    n = 1500
+    nodes = spark.range(n + 1).select(F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("seq"))
+    edges = spark.range(1, n + 1).select(F.concat(F.lit("n"), "id").alias("source_id"), F.lit("n0").alias("target_id"))
+    ids = nodes.where("seq > 0").select("id")
+    pairs = (lambda: link.untried(nodes, edges, ids, None).count()) if ordered else (lambda: g.two_hops(nodes, edges, ids).count())
+    found, moved = _shuffled(spark, pairs)
+    assert found == n * (n - 1) // (2 if ordered else 1)
+    assert moved < 100_000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_two_hops_in_small_blocks(spark, monkeypatch, seed):
+    """Blocks of 2, triangles, double edges, edges to oneself and ends without a node, against brute force."""
+    monkeypatch.setattr(g, "BLOCK", 2)
+    draw = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(30)]
+    ends = [(draw.choice(ids[:8] if draw.random() < 0.3 else ids), draw.choice([*ids, "gone"])) for _ in range(70)]
+    nodes, edges = spark.createDataFrame([(x, 100 - i // 2) for i, x in enumerate(ids)], "id string, seq long"), spark.createDataFrame(ends, "source_id string, target_id string")
+    near, seq = {}, {x: 100 - i // 2 for i, x in enumerate(ids)}
+    for a, b in ends:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seeds = [*ids[::3], "gone"]
+    want = {}
+    for s in seeds:
+        for m in sorted(near.get(s, set()) & set(ids) - {s}, reverse=True):
+            want |= {(s, r): m for r in near[m] & set(ids) - near[s] - {s}}
+    got = g.two_hops(nodes, edges, spark.createDataFrame([(s,) for s in seeds], "id string")).collect()
+    assert {(r["seed_id"], r["remote_id"]): r["mid_id"] for r in got} == want and len(got) == len(want)
+    place, asked = lambda x: (seq[x], x), {}
+    for a, b in sorted((p for p in want if p[0] in seq), key=lambda p: (place(p[0]), place(p[1]))):
+        asked.setdefault(frozenset((a, b)), (a, want[a, b], b))
+    rows = link.untried(nodes, edges, spark.createDataFrame([(s,) for s in seeds], "id string"), None).collect()
+    assert sorted(map(tuple, rows)) == sorted(asked.values())
