@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.providers import BACKENDS, Providers, client_for
+from graphloom.functions.providers import BACKENDS, Providers, client_for, takes
 from graphloom.functions.text import loose_json, strip, tool_call
 from graphloom.functions.vectors import cosine, hashed_vector, normalise
 from graphloom.operators import graph as g
@@ -517,6 +517,26 @@ def test_link_rounds_ask_what_all_pairs_in_order_would(spark, monkeypatch, most)
     assert most > 3 or len(want) < len(whole)
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_a_linker_that_says_what_it_takes_makes_the_same_links(spark, most):
+    """Pairs that it never takes aren't made, and the links are those of asking it about all pairs."""
+    _, _, nodes, edges = random_graph(spark, 5, n=40, m=60)
+    nodes, edges = shaped(nodes, NODE), shaped(edges, EDGE)
+    seeds = nodes.where("seq % 3 <> 0").select("id")
+    number, asked = lambda n: n["id"].substr(2, 5).cast("int"), spark.sparkContext.accumulator(0)
+
+    def say(s, r, p):
+        asked.add(1)
+        a, b = int(s["id"][1:]), int(r["id"][1:])
+        return {"holds": a % 4 == 0 and b % 2 == 1 and a + b > 20, "what": "w", "why": "y"}
+
+    plain, n_plain = link.link_round(nodes, edges, seeds, None, Providers(link=lambda *x: say(*x)), "p", F.lit(NOW), most), asked.value
+    ruled = link.link_round(nodes, edges, seeds, None, Providers(link=takes(lambda n: number(n) % 4 == 0, lambda n: number(n) % 2 == 1)(say)), "p", F.lit(NOW), most)
+    links = lambda r: sorted((x["source_id"], x["target_id"]) for x in r["new"].collect())
+    assert links(ruled) == links(plain) and plain["added"] == ruled["added"] > 2
+    assert ruled["asked"] < plain["asked"] and asked.value - n_plain < n_plain
+
+
 def test_roles_fall_back_and_the_environment_is_checked(monkeypatch):
     from graphloom.functions.providers import BACKENDS, ChatClient, backend_of, validate_env
 
