@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timezone
 
@@ -675,6 +676,13 @@ def test_pairs_at_a_hub_are_not_moved(spark, ordered):
     assert moved < 100_000
 
 
+def test_turns_are_compared_before_pairs_move(spark):
+    """Lists of remotes move by their seed without the turns (four words a remote), in parts of a fixed number."""
+    nodes, edges = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, seq long"), spark.createDataFrame([("a", "b"), ("b", "c")], "source_id string, target_id string")
+    plan = link.untried(nodes, edges, nodes.select("id"), None)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"RepartitionByExpression \[seed_id#\d+\], \d+", plan)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_two_hops_in_small_blocks(spark, monkeypatch, seed):
     """Blocks of 2, triangles, double edges, edges to oneself and ends without a node, against brute force."""
