@@ -683,6 +683,17 @@ def test_turns_are_compared_before_pairs_move(spark):
     assert re.search(r"RepartitionByExpression \[seed_id#\d+\], \d+", plan)
 
 
+def test_blocks_are_not_unfolded_by_one_function(spark):
+    """Generated code holds all rows that it makes of a row, so seeds and remotes of two blocks are unfolded by two functions."""
+    nodes = spark.range(4).select(F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("seq"))
+    edges = spark.createDataFrame([("n1", "n0"), ("n2", "n0"), ("n3", "n0")], "source_id string, target_id string")
+    pairs = g.two_hops(nodes, edges, nodes.select("id"))
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    whole = re.split(r"Coalesce \d+", plan, maxsplit=1)
+    assert len(whole) == 2 and "Generate explode(remotes" in whole[0] and "Generate explode(transform" in whole[1] and f"{g.SLICE})" in whole[1]
+    assert {(r["seed_id"], r["remote_id"]) for r in pairs.collect()} == {(f"n{a}", f"n{b}") for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_two_hops_in_small_blocks(spark, monkeypatch, seed):
     """Blocks of 2, triangles, double edges, edges to oneself and ends without a node, against brute force."""
