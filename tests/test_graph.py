@@ -694,6 +694,16 @@ def test_blocks_are_not_unfolded_by_one_function(spark):
     assert {(r["seed_id"], r["remote_id"]) for r in pairs.collect()} == {(f"n{a}", f"n{b}") for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
 
 
+def test_pairs_with_several_nodes_between_are_hashed(spark):
+    """The least node between is found by its number, by hashing: a text's would be found by sorting all that a seed reaches."""
+    nodes = spark.range(6).select(F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("seq"))
+    edges = spark.createDataFrame([("n1", "n0"), ("n3", "n1"), ("n2", "n0"), ("n3", "n2"), ("n2", "n0"), ("n4", "n2"), ("n4", "n0")], "source_id string, target_id string")
+    pairs = g.two_hops(nodes, edges, nodes.where("id in ('n0', 'n3', 'n5')").select("id"))
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[seed_id" in plan and not re.search(r"SortAggregate\(key=\[seed_id#\d+, remote_id", plan)
+    assert sorted(map(tuple, pairs.collect())) == [("n0", "n1", "n3"), ("n3", "n1", "n0"), ("n3", "n2", "n4")]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_two_hops_in_small_blocks(spark, monkeypatch, seed):
     """Blocks of 2, triangles, double edges, edges to oneself and ends without a node, against brute force."""
