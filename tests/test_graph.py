@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from datetime import datetime, timezone
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -704,6 +705,25 @@ def test_pairs_with_several_nodes_between_are_hashed(spark):
     assert sorted(map(tuple, pairs.collect())) == [("n0", "n1", "n3"), ("n3", "n1", "n0"), ("n3", "n2", "n4")]
 
 
+@pytest.mark.parametrize("most", [4096, 7])
+def test_overlaps_move_sets(spark, monkeypatch, most):
+    """435 pairs of nodes with 200 neighbours or so: their sets are moved, not each neighbour of each pair; sets in one part and in many."""
+    monkeypatch.setattr(similarity, "SET", most)
+    draw = random.Random(5)
+    near = {f"n{i:02d}": set(draw.sample([f"x{k}" for k in range(400)], 200 + i)) for i in range(29)} | {"n29": {"y"}}
+    rows = spark.createDataFrame([(k, x) for k, v in near.items() for x in v], "id string, other string")
+    pairs = spark.createDataFrame([(a, b) if (len(a) + i) % 2 else (b, a) for i, (a, b) in enumerate(combinations([*near, "none"], 2))], "a string, b string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, moved = _shuffled(spark, lambda: similarity.neighbour_jaccard(pairs, rows).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    near["none"] = set()
+    assert len(found) == 465 and all(r["jac"] == pytest.approx(len(near[r["a"]] & near[r["b"]]) / len(near[r["a"]] | near[r["b"]])) for r in found)
+    assert most == 7 or moved < 40_000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_two_hops_in_small_blocks(spark, monkeypatch, seed):
     """Blocks of 2, triangles, double edges, edges to oneself and ends without a node, against brute force."""
